@@ -6,9 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, oracles, quality, token_counts
+from quern.llm import bpe, oracles, quality, substrings, token_counts, urls, warc
+from quern.plans import scratch
 from quern.session import table
 
+#: Fixed rules of the URL query.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -16,20 +25,35 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.records(warc.read(spark, path))
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:x-page:(-?[0-9]+)>', 1) AS BIGINT)")
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = token_counts.count(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_pretokens", "n_tokens")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.judge(docs).select("doc_id", *quality.RULES, "kept")
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_bpe": op2_bpe,
+    "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE = {"op8_quality_rules": oracles.OP8}
