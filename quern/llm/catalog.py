@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, oracles, quality, substrings, token_counts, urls, warc
+from quern.llm import bpe, jaccard, oracles, quality, substrings, token_counts, urls, warc
 from quern.plans import scratch
 from quern.session import table
 
@@ -48,6 +48,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *quality.RULES, "kept")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_bpe": op2_bpe,
@@ -55,5 +60,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 ORACLE = {"op8_quality_rules": oracles.OP8}
