@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, jaccard, oracles, quality, substrings, token_counts, urls, warc
+from quern.llm import bpe, decontamination, jaccard, oracles, quality, substrings, token_counts, urls, warc
 from quern.plans import scratch
 from quern.session import table
 
@@ -39,6 +39,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_pretokens", "n_tokens")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start", "n_windows")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,

@@ -56,7 +56,7 @@ def _grams(urls: DataFrame, *keep: str) -> DataFrame:
     padded = F.concat(F.lit(BEGIN * ORDER), F.col("s"), F.lit(END))
     at = F.sequence(F.lit(ORDER), F.length("s") + ORDER + 1)
     grams = F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("p"), i - k + 1, F.lit(k)) for k in range(1, ORDER + 1)], F.when(i > ORDER, F.substring(F.col("p"), i - ORDER, F.lit(ORDER + 1))))))
-    return urls.withColumn("p", padded).select(*keep, F.explode(grams).alias("g")).where("g IS NOT NULL")
+    return urls.withColumn("p", padded).select(*keep, F.explode_outer(grams).alias("g")).where("g IS NOT NULL")
 
 
 def model(labelled: DataFrame) -> DataFrame:

@@ -40,3 +40,32 @@ def linked(docs, percent=80):
                 a, b = find(d), find(e)
                 parent[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def decontaminated(docs, items, threshold=0.8):
+    """(doc_id, item_id) -> best multiset Jaccard similarity over all item-sized windows."""
+    from collections import Counter
+
+    def grams(words):
+        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+    def split(text):
+        return WORD.findall((text or "").lower())
+
+    out = {}
+    wanted = [(i, split(t)) for i, t in items]
+    wanted = [(i, w, Counter(grams(w))) for i, w in wanted if len(w) >= 5]
+    for d, t in docs:
+        g = grams(w := split(t))
+        have = set(g)
+        for i, iw, want in wanted:
+            if sum(x in have for x in want) < 1:
+                continue
+            size = len(iw) - 4
+            best = 0.0
+            for s in range(max(1, len(w) - len(iw) + 1)):
+                win = Counter(g[s : s + size])
+                best = max(best, sum((win & want).values()) / sum((win | want).values()))
+            if best >= threshold:
+                out[d, i] = round(best, 9)
+    return out
