@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, jaccard, oracles, quality, substrings, token_counts, urls, warc
+from quern.llm import bpe, decontamination, jaccard, oracles, pii, quality, substrings, templates, token_counts, urls, warc
 from quern.plans import scratch
 from quern.session import table
 
@@ -25,6 +25,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *[number(k) for k in range(4)], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(pii.all_spans()).alias("spans"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -58,14 +64,21 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count=True)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE = {"op8_quality_rules": oracles.OP8}
