@@ -41,17 +41,15 @@ def _lanes(grams: Column) -> list[Column]:
     def lanes(k: int) -> Column:
         return F.aggregate(grams, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)))
 
-    return [lanes(k).alias(f"__q_l{k}") for k in range(16)]
+    return [lanes(k) for k in range(16)]
 
 
 def with_simhash(df: DataFrame, grams: str, name: str) -> DataFrame:
     """Adds the 64-bit SimHash of the array column `grams`, repeats counted. The lane sums have a step of their own, so each is made once."""
-    out = df.select("*", *_lanes(F.col(grams)))
-    bits = F.lit(0).cast("long")
-    for bit in range(64):
-        ones = F.shiftrightunsigned(F.col(f"__q_l{bit % 16}"), 16 * (bit // 16)).bitwiseAND(F.lit(0xFFFF))
-        bits = bits.bitwiseOR(F.when(2 * ones > F.size(grams), F.lit((1 << bit) - (1 << 64) * (bit == 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out.withColumn(name, bits).drop(*[f"__q_l{k}" for k in range(16)])
+    out = df.withColumn("__q_l", F.array(*_lanes(F.col(grams))))
+    # the lanes are named twice, so that the optimizer keeps their step apart
+    bits = "aggregate(sequence(0, 63), 0L, (a, b) -> a | if(2 * (shiftrightunsigned(__q_l[b % 16], 16 * cast(b div 16 AS INT)) & 65535L) > size({0}), shiftleft(1L, b), 0L))"
+    return out.withColumn(name, F.expr(f"if(size(__q_l) = 16, {bits.format(grams)}, NULL)")).drop("__q_l")
 
 
 def block_masks(radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -70,10 +68,9 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
 
 def _first_equal(difference: Column, radius: int) -> Column:
     """The first block in which two fingerprints agree, from their exclusive or."""
-    out = F.lit(radius + 1)
-    for i, (at, bits) in reversed(list(enumerate(block_masks(radius)))):
-        out = F.when(F.shiftrightunsigned(difference, at).bitwiseAND(F.lit((1 << bits) - 1)) == 0, i).otherwise(out)
-    return out
+    masks = [((1 << bits) - 1) << at for at, bits in block_masks(radius)]
+    masks = F.array(*[F.lit(m - (1 << 64) * (m >> 63)).cast("long") for m in masks])
+    return F.array_position(F.transform(masks, lambda m: difference.bitwiseAND(m) == 0), True) - 1
 
 
 def _overlap(a: Column, b: Column) -> Column:
