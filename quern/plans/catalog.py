@@ -266,8 +266,8 @@ query("agg_18", f"SELECT merchant_category, round(sum(total_spend_inr), 2) AS to
 _TOPS = """SELECT * FROM (SELECT raw_descriptor AS merchant_identity, round(sum(amount_inr), 2) AS total_spend, row_number() OVER (ORDER BY round(sum(amount_inr), 2) DESC, raw_descriptor) AS rank, 'Before (Raw Descriptor)' AS state FROM fct WHERE status = 'APPROVED' AND NOT is_outlier GROUP BY 1)
   WHERE rank <= 10 UNION ALL SELECT * FROM (SELECT m.merchant_name, round(sum(amount_inr), 2) AS total_spend, row_number() OVER (ORDER BY round(sum(amount_inr), 2) DESC, m.merchant_name) AS rank, 'After (Resolved Identity)' FROM fct f JOIN {dim} m ON m.merchant_id = f.merchant_id WHERE status = 'APPROVED' AND NOT is_outlier GROUP BY 1) WHERE rank <= 10"""
 query("win_1", _TOPS.format(dim="dim_merchant"))(lambda s, d: gold.top_merchants(*star(s, d)))
-_gap = lambda f: lambda s, d: after(s, d, "imputed").dropDuplicates(["account_id", "merchant_id", "amount_inr", "txn_timestamp"]).select("account_id", "merchant_id", "amount_inr", "txn_timestamp", F.abs(F.unix_micros(F.col("txn_timestamp").cast("timestamp")) - F.unix_micros(f("txn_timestamp").over(Window.partitionBy("account_id", "merchant_id", "amount_inr").orderBy("txn_timestamp")).cast("timestamp"))).alias("gap"))
-_GAP = "SELECT account_id, merchant_id, amount_inr, txn_timestamp, abs(epoch_us(txn_timestamp) - epoch_us({f}(txn_timestamp) OVER (PARTITION BY account_id, merchant_id, amount_inr ORDER BY txn_timestamp))) AS gap FROM (SELECT DISTINCT account_id, merchant_id, amount_inr, txn_timestamp FROM imputed)"
+_gap = lambda f: lambda s, d: after(s, d, "imputed").dropDuplicates(["account_id", "merchant_id", "amount_inr", "txn_timestamp"]).select("account_id", "merchant_id", "amount_inr", "txn_timestamp", F.abs(F.unix_micros(F.col("txn_timestamp").cast("timestamp")) - F.unix_micros(f("txn_timestamp").over(Window.partitionBy("account_id", "merchant_id", "amount_inr").orderBy("txn_timestamp")).cast("timestamp"))).alias("gap")).fillna(-1, ["gap"])
+_GAP = "SELECT account_id, merchant_id, amount_inr, txn_timestamp, coalesce(gap0, -1) AS gap FROM (SELECT account_id, merchant_id, amount_inr, txn_timestamp, abs(epoch_us(txn_timestamp) - epoch_us({f}(txn_timestamp) OVER (PARTITION BY account_id, merchant_id, amount_inr ORDER BY txn_timestamp))) AS gap0 FROM (SELECT DISTINCT account_id, merchant_id, amount_inr, txn_timestamp FROM imputed))"
 query("win_2", _GAP.format(f="lag"))(_gap(F.lag))
 query("win_3", _GAP.format(f="lead"))(_gap(F.lead))
 query("win_4", "SELECT transaction_id, copy_no FROM copies")(lambda s, d: quality.number_copies(after(s, d, "imputed")).select("transaction_id", F.col("copy_no").cast("long").alias("copy_no")))
