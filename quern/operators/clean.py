@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +35,12 @@ def similar_cities(spellings: DataFrame, canonical: list[str], least: float = 80
     """spelling (lower case, trimmed), best: the most similar canonical name of at least `least`; others have no row."""
     lower = [x.lower() for x in canonical]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(s, m) for s in batch["spelling"] if (m := best_match(s, lower, ratio, least))]
-            yield pd.DataFrame({"spelling": [s for s, _ in found], "best": [canonical[m[0]] for _, m in found]})
+            found = [(s, m) for s in batch.column(0).to_pylist() if (m := best_match(s, lower, ratio, least))]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([canonical[m[0]] for _, m in found], pa.string())], names=["spelling", "best"])
 
-    return spellings.select("spelling").mapInPandas(work, "spelling string, best string")
+    return spellings.select("spelling").mapInArrow(work, "spelling string, best string")
 
 
 def cities(df: DataFrame, canonical: DataFrame, fuzzy: bool = True, variants: DataFrame | None = None, least: float = 80.0) -> DataFrame:

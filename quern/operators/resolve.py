@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +32,14 @@ def similar(names: DataFrame, dictionary: DataFrame, least: float = SIMILAR) ->
     rows = dictionary.orderBy("position").select("alias", "merchant_id", "canonical_name").collect()
     aliases = [r.alias for r in rows]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(s, *m) for s in batch["descriptor_clean"] if (m := best_match(s, aliases, token_set_ratio, least))]
-            yield pd.DataFrame(
-                {"descriptor_clean": [s for s, _, _ in found], "merchant_id": [rows[i].merchant_id for _, i, _ in found], "merchant_name": [rows[i].canonical_name for _, i, _ in found], "match_confidence": [x / 100 for _, _, x in found]}
-            )
+            found = [(s, *m) for s in batch.column(0).to_pylist() if (m := best_match(s, aliases, token_set_ratio, least))]
+            texts = [[s for s, _, _ in found], [rows[i].merchant_id for _, i, _ in found], [rows[i].canonical_name for _, i, _ in found]]
+            scores = pa.array([x / 100 for _, _, x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(t, pa.string()) for t in texts), scores], names=["descriptor_clean", "merchant_id", "merchant_name", "match_confidence"])
 
-    return names.select("descriptor_clean").mapInPandas(work, "descriptor_clean string, merchant_id string, merchant_name string, match_confidence double")
+    return names.select("descriptor_clean").mapInArrow(work, "descriptor_clean string, merchant_id string, merchant_name string, match_confidence double")
 
 
 def resolved_names(df: DataFrame, dictionary: DataFrame, tiers: tuple[str, ...] = TIERS, least: float = SIMILAR) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans import scratch
+
 RATES = {"near": 0.015, "copies": 0.01, "outliers": 0.002, "impossible": 0.001, "parens": 0.02, "usd": 0.12, "no_currency": 0.15, "no_mcc": 0.25, "sentinels": 0.08, "drift": 0.0005}
 #: category: (code, group, mu, sigma of the logarithm of amounts)
 CATEGORIES = {"Coffee": ("5814", "Food", 5.2, 0.5), "Grocery": ("5411", "Food", 6.5, 0.8), "Apparel": ("5651", "Retail", 7.0, 0.9), "Fuel": ("5541", "Travel", 7.0, 0.5), "Airline": ("4511", "Travel", 8.8, 0.8), "Pharmacy": ("5912", "Services", 6.0, 0.8)}
@@ -136,7 +138,8 @@ def corrupt(clean: DataFrame, seed: str = "42") -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("amount", F.when(F.col("__outlier"), F.col("amount") * 100).otherwise(F.col("amount"))).unionByName(near.withColumn("__outlier", F.lit(False)))
     rows = spoil_descriptor(rows, seed)
     flags = {"__impossible": hit("impossible"), "__parens": hit("parens") & (uniform(seed + "really") < 0.5), "__no_currency": hit("no_currency"), "__no_mcc": hit("no_mcc"), "__sentinel": hit("sentinels"), "__drift": hit("drift"), "__copy": hit("copies")}
-    rows = rows.withColumns(flags)
+    # cut here: filters over the result would else be moved below twelve nested steps and double at each
+    rows = scratch.cut(rows.withColumns(flags), "synthetic")
     token, place = pick(["NA", "N/A", "-", "NULL", "null", "None", "none", "-999"], seed + "token"), F.floor(uniform(seed + "where") * 6)
     spoiled = lambda k, c: F.when(F.col("__sentinel") & ((place == k) | (hit("second", 0.5) & (F.pmod(place + 1, F.lit(6)) == k))), token).otherwise(c)
     city, d = F.col("city"), F.col("merchant_descriptor")
@@ -154,6 +157,7 @@ def corrupt(clean: DataFrame, seed: str = "42") -> tuple[DataFrame, DataFrame]:
         spoiled(2, F.get(F.array(city, F.upper(city), F.lower(city), F.concat(F.lit(" "), city), F.substring(city, 1, 4)), F.floor(uniform(seed + "spell") * 5).cast("int"))).alias("city"),
         spoiled(3, country).alias("country"), spoiled(4, channel).alias("channel"), spoiled(5, F.col("status")).alias("status"), "__copy", "i",
     )
+    raw = scratch.cut(raw, "raw")
     raw = raw.unionByName(raw.where("__copy")).orderBy(F.xxhash64("i", F.lit(seed + "shuffle"))).drop("__copy", "i")
     entry = lambda flag, kind, detail: F.when(F.col(flag), F.struct(F.lit(kind).alias("t"), detail.cast("string").alias("d")))
     entries = F.array_compact(
