@@ -52,10 +52,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
     """A row for each substring of up to ORDER + 1 characters of the padded URL that ends at a character of it, at
-    its end mark or just before it: columns `keep` and g."""
+    its end mark or just before it, and an empty one for each character and the end mark: columns `keep` and g."""
     padded = F.concat(F.lit(BEGIN * ORDER), F.col("s"), F.lit(END))
     at = F.sequence(F.lit(ORDER), F.length("s") + ORDER + 1)
-    grams = F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("p"), i - k + 1, F.lit(k)) for k in range(1, ORDER + 1)], F.when(i > ORDER, F.substring(F.col("p"), i - ORDER, F.lit(ORDER + 1))))))
+    grams = F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("p"), i - k + 1, F.lit(k)) for k in range(1, ORDER + 1)], F.when(i > ORDER, F.substring(F.col("p"), i - ORDER, F.lit(ORDER + 1))), F.when(i > ORDER, ""))))
     return urls.withColumn("p", padded).select(*keep, F.explode_outer(grams).alias("g")).where("g IS NOT NULL")
 
 
@@ -64,7 +64,7 @@ def model(labelled: DataFrame) -> DataFrame:
     n = F.col("n")
     counts = _grams(labelled, "n", "ok").groupBy("g").agg(F.sum(F.when(F.col("ok"), n).otherwise(0)).alias("a"), F.sum(F.when(F.col("ok"), 0).otherwise(n)).alias("b"))
     counts = scratch.cut(counts, "grams")
-    seen = counts.where(~F.col("g").endswith(BEGIN))
+    seen = counts.where((F.col("g") != "") & ~F.col("g").endswith(BEGIN))
     contexts = seen.groupBy(F.expr("substring(g, 1, length(g) - 1)").alias("c")).agg(
         F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("b") > 0).cast("long")).alias("tb")
     )
@@ -79,9 +79,8 @@ def model(labelled: DataFrame) -> DataFrame:
             level = level.join(below, F.expr("substring(g, 2, length(g) - 1)") == F.col("h"))
         level = level.select("g", "u", "v0", _mixed("a", "na", "ta", "pa0").alias("pa"), _mixed("b", "nb", "tb", "pb0").alias("pb"))
         levels.append(scratch.cut(level.withColumn("v", F.log("pa") - F.log("pb")), f"level{k}"))
-    # the context of order 0 counts for every character alike, so its back-off weight cancels against the grams of length 1
-    as_gram = reduce(DataFrame.unionByName, [x.select("g", (F.col("v") - F.col("v0") - (F.col("u") if k else F.lit(0.0))).alias("w")) for k, x in enumerate(levels)])
-    as_context = contexts.where("c <> ''").select(F.col("c").alias("g"), F.col("u").alias("w"))
+    as_gram = reduce(DataFrame.unionByName, [x.select("g", (F.col("v") - F.col("v0") - F.col("u")).alias("w")) for x in levels])
+    as_context = contexts.select(F.col("c").alias("g"), F.col("u").alias("w"))
     return as_gram.unionByName(as_context).groupBy("g").agg(F.sum("w").alias("w"))
 
 

@@ -139,7 +139,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """The records of an archive as (offset, length, record), and what is quarantined as (offset, length, reason).
 
     Plain archives and archives of gzip members of one or more records are read; spare line ends between records
-    are skipped. After a failed check the search goes on at the next version line at a line's begin, or the next
+    are skipped. After a failed check the search goes on at the next version line, or the next
     gzip member that can be read and holds a record. Offsets are of the bytes in the archive; all records of a
     gzip member have the member's.
     """
@@ -190,7 +190,7 @@ def _next(data: bytes, at: int) -> int:
     zipped = data.find(_GZIP, at)
     limit = len(data) if zipped < 0 else zipped
     while 0 <= (mark := data.find(b"WARC/", at, limit)) < limit:
-        if data[mark - 1 : mark] == b"\n" and _MARK.match(data, mark):
+        if _MARK.match(data, mark):  # wherever it stands: what is before it may be cut off within a line
             return mark
         at = mark + 1
     return limit
