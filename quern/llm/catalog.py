@@ -83,4 +83,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op8_quality_rules": oracles.OP8}
+ORACLE = {"op4_warc": oracles.OP4, "op8_quality_rules": oracles.OP8}
