@@ -1,17 +1,20 @@
 """Exact n-gram Jaccard self-join by vertical partitioning, and its connected components.
 
 Documents of equal shingle sets are one class. All shingles have one global order: estimated frequency (a counting
-sketch of fixed size), then hash. A class posts its prefix in that order, the only shingles that a partner at the
-threshold must share one of. Postings give candidate pairs under the size and position bounds. The order is cut
-into fragments, a candidate's overlap is counted separately in each, and the partial counts are summed per pair.
+sketch of fixed size), then hash. A class posts its prefix in that order, of which a partner at the threshold must
+share `needed(n)` shingles, a number that grows with the set, so that few pairs are candidates by chance. Postings give candidate pairs under the size and position bounds. The order is cut into fragments, a
+candidate's overlap is counted separately in each, and the partial counts are summed per pair. Before that, the
+parities of 256 buckets of each set give a least number of shingles in which two sets differ.
 
-Frequent shingles don't emit all pairs: every class with such a shingle is compared with one hub of it first; what
+Frequent shingles come last in the order. So sets that share no other shingle can only link if a fifth of either at
+most is not frequent, and only such sets post frequent ones. These don't emit all pairs: every class with such a shingle is compared with one hub of it first; what
 is then in one component needs no more comparing, and the rest goes on with twice as many hubs each round until no
 shingle spans two components or all pairs of different components have been compared. So no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import arrows
-from quern.llm.shingling import set_id, set_keys, shingles
+from quern.llm.shingling import parities, set_id, set_keys, shingles
 from quern.operators.components import components
 from quern.plans import scratch
 
@@ -29,14 +32,28 @@ PERCENT = 80
 FRAGMENTS = 4
 SKETCH_BITS = 22
 SMALL = 24  # members of a posting list of which all pairs are compared at once
-HUBS = 2  # of a frequent shingle in the second round
+HUBS = 16  # of a frequent shingle in the second round
 BROADCAST_ROWS = 1_000_000
+STEP = 25  # words of a set for one more shingle to share
+
+
+def needed(n):
+    """The shingles that sets of this size (an array or a Column) must share in their prefixes: a prefix has one shingle
+    more for each beyond the first. Of sets of two sizes the smaller number holds."""
+    return 1 + (F.floor(n / STEP).cast("long") if isinstance(n, Column) else n // STEP)
+
+
+BITS = T.StructType([T.StructField(f"b{k}", T.LongType()) for k in range(4)])
+
+
+def _bits(words: list[np.ndarray]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(w.view(np.int64)) for w in words], names=[f"b{k}" for k in range(4)])
 
 
 def _signatures(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """kind 0: doc_id, n, k1, k2 of each document. kind 1: bucket (k1) and count (n) of the sketch, of buckets that
+    """kind 0: doc_id, n, k1, k2, bits (parities) of each document. kind 1: bucket (k1) and count (n) of the sketch, of buckets that
     one task counted well above its mean."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc", docs.schema[doc].dataType), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc", docs.schema[doc].dataType), T.StructField("n", T.LongType()), *[T.StructField(k, T.LongType()) for k in ("k1", "k2")], T.StructField("bits", BITS)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -46,12 +63,12 @@ def _signatures(docs: DataFrame, doc: str, text: str) -> DataFrame:
             np.add.at(sketch, h >> np.uint64(64 - SKETCH_BITS), 1)
             k1, k2 = set_keys(h, n)
             ids = batch.column(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids, pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids, pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _bits(parities(h, n))], names=schema.names)
         if ids is not None:
             mean = sketch.mean()
             full = np.flatnonzero(sketch >= 4 + mean + 6 * mean**0.5)
             nothing = pa.nulls(len(full), ids.type)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(full), np.int32)), nothing, pa.array(sketch[full].astype(np.int64)), pa.array(full.astype(np.int64)), pa.array(np.zeros(len(full), np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(full), np.int32)), nothing, pa.array(sketch[full].astype(np.int64)), pa.array(full.astype(np.int64)), pa.array(np.zeros(len(full), np.int64)), _bits([np.zeros(len(full), np.uint64)] * 4)], names=schema.names)
 
     return docs.select(docs[doc].alias(doc), docs[text].alias(text)).mapInArrow(work, schema)
 
@@ -65,7 +82,8 @@ def _frequencies(signatures: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, doc: str, text: str, seed: int, classes, percent: int) -> DataFrame:
-    """g (shingle), s (set), n (its size), pos (of g in the order), f (whether g is frequent) of all prefixes."""
+    """g (shingle), s (set), n (its size), pos (of g in the order), f (whether g is frequent), nf (frequent ones in the
+    prefix) of all prefixes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = classes.value
@@ -79,11 +97,16 @@ def _postings(docs: DataFrame, doc: str, text: str, seed: int, classes, percent:
             order = np.lexsort((h, c, d))
             pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             size = n[d]
-            keep = np.flatnonzero((pos <= size - (percent * size + 99) // 100) & once[d])
-            g, c, d, pos = h[order[keep]], c[order[keep]], d[keep], pos[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(s[d]), pa.array(n[d].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(c > 0)], names=["g", "s", "n", "pos", "f"])
+            spare = size - (percent * size + 99) // 100
+            keep = np.flatnonzero((pos < spare + needed(size)) & once[d])
+            g, f, d, pos, spare = h[order[keep]], c[order[keep]] > 0, d[keep], pos[keep], spare[keep]
+            nf = np.bincount(d[f], minlength=len(n))
+            rare = n - np.bincount(np.repeat(np.arange(len(n)), n)[c > 0], minlength=len(n))
+            keep = np.flatnonzero(~f | (rare[d] <= spare))
+            g, f, d, pos = g[keep], f[keep], d[keep], pos[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(s[d]), *(pa.array(x.astype(np.int32)) for x in (n[d], pos)), pa.array(f), pa.array(nf[d].astype(np.int32))], names=["g", "s", "n", "pos", "f", "nf"])
 
-    return docs.select(docs[doc], docs[text]).mapInArrow(work, "g long, s long, n int, pos int, f boolean")
+    return docs.select(docs[doc], docs[text]).mapInArrow(work, "g long, s long, n int, pos int, f boolean, nf int")
 
 
 def _sets(docs: DataFrame, doc: str, text: str, seed: int) -> DataFrame:
@@ -93,7 +116,7 @@ def _sets(docs: DataFrame, doc: str, text: str, seed: int) -> DataFrame:
         for batch in arrows.slices(batches, text):
             h, d, n = shingles(*arrows.raw_bytes(batch.column(text)))
             s = set_id(*set_keys(h, n), seed)
-            part = (h >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4
+            part = (h >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32
             key = d * FRAGMENTS + part
             new = np.flatnonzero(np.diff(key, prepend=-1))
             ends = np.append(new, len(h)).astype(np.int32)
@@ -104,19 +127,35 @@ def _sets(docs: DataFrame, doc: str, text: str, seed: int) -> DataFrame:
 
 
 def _may_link(n: Column, pos: Column, n2: Column, pos2: Column, percent: int) -> Column:
-    """Size and position bounds for two sets that share a shingle at these places of the order."""
+    """Size and position bounds for two sets of which the k-th shared shingle is at these places, for any k up to the
+    needed number: before it they share at most k - 1 others."""
     small, large = F.least(n, n2).cast("long"), F.greatest(n, n2).cast("long")
-    return (100 * small >= percent * large) & ((100 + percent) * (F.least(n - pos, n2 - pos2)).cast("long") >= percent * (n.cast("long") + n2))
+    return (100 * small >= percent * large) & ((100 + percent) * (F.least(n - pos, n2 - pos2) + needed(small) - 1) >= percent * (n.cast("long") + n2))
+
+
+def _alike(n: Column, bits: Column, n2: Column, bits2: Column, percent: int) -> Column:
+    """Whether the sets can be at the threshold, as they differ in one shingle at least for each bit that differs."""
+    both = n.cast("long") + n2
+    differing = sum((F.bit_count(bits[f"b{k}"].bitwiseXOR(bits2[f"b{k}"])) for k in range(4)), F.lit(0))
+    return (100 + percent) * (both - differing) >= 2 * percent * both
 
 
 def _short_lists(percent: int):
-    """Of all postings in a partition: the candidate pairs of lists of up to SMALL members, and the longer lists."""
+    """Of all postings in a partition: the pairs of lists of up to SMALL members (a < b, n: shared here), and as rows with a
+    null b the members of longer lists and of frequent shingles, which are not dealt by shingle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "g", "n", "pos", "nf", "f"]
         found = [b for b in batches if b.num_rows]
         if not found:
             return
         rows = pa.Table.from_batches(found)
+        frequent = rows.column("f").to_numpy()
+        for part in rows.filter(pa.array(frequent)).to_batches(max_chunksize=50_000):
+            yield pa.RecordBatch.from_arrays([part.column("s"), pa.nulls(part.num_rows, pa.int64()), *(part.column(c) for c in ("g", "n", "pos", "nf", "f"))], names=names)
+        rows = rows.filter(pa.array(~frequent))
+        if not rows.num_rows:
+            return
         g, s, n, pos = (rows.column(c).to_numpy() for c in ("g", "s", "n", "pos"))
         order = np.lexsort((s, g))
         order = order[np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (s[order][1:] != s[order][:-1])])]
@@ -124,52 +163,93 @@ def _short_lists(percent: int):
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         size = np.repeat(np.diff(np.append(first, len(g))), np.diff(np.append(first, len(g))))
         order, size = order[size > 1], size[size > 1]
-        g, s, n, pos = (rows.column(c).to_numpy()[order] for c in ("g", "s", "n", "pos"))
+        g, s, n, pos, nf = (rows.column(c).to_numpy()[order] for c in ("g", "s", "n", "pos", "nf"))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        zero = lambda k: pa.array(np.zeros(k, np.int64))
         big = size > SMALL
         for at in range(0, int(big.sum()), 50_000):
             k = np.flatnonzero(big)[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s[k]), zero(len(k)), pa.array(g[k]), pa.array(n[k].astype(np.int32)), pa.array(pos[k].astype(np.int32))], names=["a", "b", "g", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[k]), pa.nulls(len(k), pa.int64()), pa.array(g[k]), *(pa.array(x[k].astype(np.int32)) for x in (n, pos, nf)), pa.array(np.zeros(len(k), bool))], names=names)
         keep = ~big
-        g, s, n, pos = g[keep], s[keep], n[keep], pos[keep]
+        g, s, n, pos, nf = g[keep], s[keep], n[keep], pos[keep], nf[keep]
         for step in range(1, SMALL):
             if step >= len(g):
                 break
             i = np.flatnonzero(g[step:] == g[:-step])
             j = i + step
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (100 * small >= percent * large) & ((100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j]))
-            a, b = s[i[ok]], s[j[ok]]
+            ok = (100 * small >= percent * large) & ((100 + percent) * (np.minimum(n[i] - pos[i], n[j] - pos[j]) + needed(small) - 1) >= percent * (n[i] + n[j]))
+            a, b, both = s[i[ok]], s[j[ok]], np.minimum(nf[i[ok]], nf[j[ok]])
             if len(a):
-                both = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32())], names=["a", "b", "g", "n", "pos"])
+                order = np.lexsort((b, a))
+                a, b, both = a[order], b[order], both[order]
+                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                times = np.diff(np.append(new, len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.nulls(len(new), pa.int64()), pa.array(times.astype(np.int32)), pa.nulls(len(new), pa.int32()), pa.array(both[new].astype(np.int32)), pa.nulls(len(new), pa.bool_())], names=names)
 
     return work
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted by fragment and summed, reaches the threshold."""
+def _promising(pairs: DataFrame, shared: DataFrame, often: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), with their sizes, that can be at the threshold by their parities, and that can share as many prefix shingles as they need: those counted in short
+    lists, and at most as many of frequent ones and of long lists as either has."""
+    sizes = classes.join(often, "s", "left").select("s", "n", "bits", F.coalesce("nf", F.lit(0)).alias("nf"), F.coalesce("long", F.lit(0)).alias("long"))
+    side = lambda x: sizes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"), F.col("nf").alias(f"nf_{x}"), F.col("long").alias(f"long_{x}"))
+    out = pairs.join(shared, ["a", "b"], "left").join(side("a"), "a").join(side("b"), "b")
+    most = F.coalesce("shared", F.lit(0)) + F.coalesce("both_nf", F.least("nf_a", "nf_b")) + F.least("long_a", "long_b")
+    out = out.where(_alike(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"), percent))
+    return out.where(most >= needed(F.least("na", "nb"))).select("a", "b", "na", "nb", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int) -> tuple[DataFrame, DataFrame] | None:
+    """The links among `pairs` (a, b, na, nb, shared) that join components, and the labels after them.
+
+    The sets are made again, from the texts of the documents that stand for them. Pairs go in three waves: for each
+    set its best partner; for each two components one pair; all that are left. Pairs of one component need no more
+    comparing, so a large group is joined by about as many comparisons as it has members.
+    """
     ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    wanted = scratch.cut(classes.join(ids, "s", "left_semi").select("s", "rep"), "wanted")
-    reps = wanted.select(F.col("rep").alias("__q_rep")).distinct()
+    reps = scratch.cut(classes.join(ids, "s", "left_semi").select(F.col("rep").alias("__q_rep")).distinct(), "wanted")
     reps = F.broadcast(reps) if scratch.fits(reps, BROADCAST_ROWS) else reps
     source = docs.select(docs[doc].alias(doc), docs[text].alias(text))
     source = source.join(reps, source[doc].eqNullSafe(reps["__q_rep"]), "left_semi")
     sets = scratch.cut(_sets(source, doc, text, seed), "sets")
-    left = sets.select(F.col("s").alias("a"), "part", F.col("seg").alias("seg_a"))
-    right = sets.select(F.col("s").alias("b"), F.col("part").alias("part_b"), F.col("seg").alias("seg_b"))
-    # the far side first: a hub's own set is then read once for each partner, by a join that Spark can split
-    counted = pairs.join(left, "a").join(right, (F.col("part") == F.col("part_b")) & (pairs["b"] == right["b"])).select("a", pairs["b"], "part", F.size(F.array_intersect("seg_a", "seg_b")).alias("both"))
-    shared = counted.groupBy("a", "b", "part").agg(F.max("both").alias("both")).groupBy("a", "b").agg(F.sum("both").alias("both"))
-    sizes = classes.select("s", "n")
-    shared = shared.join(sizes.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
-    return shared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    links, left = None, pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    for wave in range(3):
+        if labels is not None:
+            known = lambda x: labels.select(F.col("id").alias(f"i{x}"), F.col("root").alias(f"r{x}"))
+            left = left.drop("ra", "rb").join(known("a"), F.col("a") == F.col("ia"), "left").join(known("b"), F.col("b") == F.col("ib"), "left")
+            left = left.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb").drop("ia", "ib")
+            left = scratch.cut(left, "left")
+            if left.isEmpty():
+                break
+        now = left
+        if wave < 2:
+            by = [F.col("b").alias("x")] if wave == 0 else [F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")]
+            rank = F.col("shared") * 1048576 + F.pmod(F.xxhash64("a"), F.lit(1048576))
+            best = left.select(*by, rank.alias("rank")).groupBy(*[c for c in ("x", "y")[: wave + 1]]).agg(F.max("rank").alias("best"))
+            on = (F.col("b") == F.col("x")) if wave == 0 else (F.least("ra", "rb") == F.col("x")) & (F.greatest("ra", "rb") == F.col("y"))
+            now = left.join(best, on & (rank == F.col("best")), "left_semi")
+        now = scratch.cut(now.select("a", "b", "na", "nb"), "wave")
+        found = scratch.cut(_linked(now, sets, percent), "links")
+        left = left.join(now.select("a", "b"), ["a", "b"], "left_anti")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            edges = found if labels is None else found.unionByName(labels.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
+            labels = scratch.cut(components(edges), "labels")
+    return None if links is None else (links, labels)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap, counted by fragment and summed, reaches the threshold."""
+    segs_a, segs_b = sets.select(F.col("s").alias("a"), "part", F.col("seg").alias("seg_a")), sets.select(F.col("s").alias("b"), "part", F.col("seg").alias("seg_b"))
+    counted = pairs.join(segs_a, "a").join(segs_b, ["b", "part"]).select("a", "b", "na", "nb", "part", F.size(F.array_intersect("seg_a", "seg_b")).alias("both"))
+    shared = counted.groupBy("a", "b", "na", "nb", "part").agg(F.max("both").alias("both")).groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+    return shared.where((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (the smallest doc_id of its shingle set), n_links (classes
-    linked with its own, of the pairs that had to be compared), component_id.
+    """One row per document: doc_id, n_shingles, class_id (the smallest doc_id of its shingle set), n_links (links
+    of its class that were needed to join its component), component_id.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct five-word shingles (A-Z
     lower-cased; fewer words are one shingle). A null or empty text has no shingles, links with nothing and is its
@@ -183,40 +263,54 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     frequent = spark.sparkContext.broadcast(_frequencies(signatures))
     for seed in range(8):  # another one if two different sets happen to get one id
         named = scratch.cut(_named(own, seed), "named")
-        classes = scratch.cut(named.groupBy("s", "n", "k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+        classes = scratch.cut(named.groupBy("s", "n", "k1", "k2", "bits").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
         if classes.groupBy("s").count().where("count > 1").isEmpty():
             break
-    postings = scratch.cut(_postings(docs, doc, text, seed, frequent, percent), "postings")
-    light = postings.where(~F.col("f")).drop("f")
+    postings = _postings(docs, doc, text, seed, frequent, percent)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = scratch.cut(light.repartition(width, "g").mapInArrow(_short_lists(percent), "a long, b long, g long, n int, pos int"), "lists")
-    heavy = postings.where("f").select("g", "s", "n", "pos").unionByName(lists.where("g IS NOT NULL").select("g", F.col("a").alias("s"), "n", "pos")).distinct()
-    heavy = scratch.cut(heavy, "heavy")
-    hubs = heavy.groupBy("g").agg(F.min("s").alias("hub"), F.min_by(F.struct("n", "pos"), "s").alias("at"), F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("g", "hub", F.col("at.n").alias("n2"), F.col("at.pos").alias("pos2"))
-    stars = heavy.join(hubs, "g").where((F.col("s") != F.col("hub")) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)).select(F.col("hub").alias("a"), F.col("s").alias("b"))
-    pairs = scratch.cut(lists.where("g IS NULL").select("a", "b").unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = scratch.cut(_verify(pairs, classes, docs, doc, text, seed, percent), "links")
-    done, labels, more, last = pairs, scratch.cut(components(links), "labels"), HUBS, False
+    dealt = postings.repartition(width, F.when(F.col("f"), F.xxhash64("g", "s")).otherwise(F.col("g")))
+    lists = scratch.cut(dealt.mapInArrow(_short_lists(percent), "a long, b long, g long, n int, pos int, nf int, f boolean"), "lists")
+    members = scratch.cut(lists.where("b IS NULL").select("g", F.col("a").alias("s"), "n", "pos", "nf", "f").distinct(), "members")
+    often = scratch.cut(members.groupBy("s").agg(F.max("nf").alias("nf"), F.count_if(~F.col("f")).alias("long")), "often")
+    heavy = scratch.cut(members.select("g", "s", "n", "pos").join(classes.select(F.col("s").alias("x"), "bits"), F.col("s") == F.col("x")).drop("x"), "heavy")
+    # edits bring rare shingles, which come first: a text that others were copied from has the smallest position
+    hubs = heavy.groupBy("g").agg(F.min(F.struct("pos", "s", "n", "bits")).alias("at"), F.count("*").alias("size")).where("size > 1")
+    hubs = hubs.select("g", F.col("at.s").alias("hub"), F.col("at.n").alias("n2"), F.col("at.pos").alias("pos2"), F.col("at.bits").alias("bits2"))
+    stars = heavy.join(hubs, "g").where((F.col("s") != F.col("hub")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)).select(F.col("hub").alias("a"), F.col("s").alias("b"))
+    shared = lists.where("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("shared"), F.max("nf").alias("both_nf"))
+    shared = scratch.cut(shared, "shared")
+    pairs = shared.select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    pairs = scratch.cut(_promising(pairs, shared, often, classes, percent), "pairs")
+    nothing = spark.createDataFrame([], "a long, b long")
+    got = _verify(pairs, None, classes, docs, doc, text, seed, percent)
+    links, labels = got or (nothing, spark.createDataFrame([], "id long, root long"))
+    done, more, last = pairs.select("a", "b"), HUBS, False
     while not last:
-        known = heavy.join(labels, heavy["s"] == labels["id"], "left").select("g", "s", "n", "pos", F.coalesce("root", "s").alias("root"))
+        known = heavy.join(labels, heavy["s"] == labels["id"], "left").select("g", "s", "n", "pos", "bits", F.coalesce("root", "s").alias("root"))
         open_lists = known.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select(F.col("g").alias("h"), "size")
-        heavy = scratch.cut(known.join(open_lists, F.col("g") == F.col("h")).select("g", "s", "n", "pos", "root", "size"), "open")
+        heavy = scratch.cut(known.join(open_lists, F.col("g") == F.col("h")).select("g", "s", "n", "pos", "bits", "root", "size"), "open")
         most = heavy.agg(F.max("size")).first()[0]
         if most is None:
             break
         last = more >= most
         chosen = heavy.where(F.lit(last) | (F.pmod(F.xxhash64("s", F.lit(more)), F.col("size")) < more))
-        chosen = chosen.select("g", F.col("s").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-        new = heavy.join(chosen, "g").where((F.col("root") != F.col("root2")) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
+        # a hub meets only the sizes that its own size and position allow: at most three bands of a factor each
+        band = lambda n: F.floor(F.log(n) / math.log(100 / percent)).cast("int")
+        most_n = F.least(F.floor(100 * F.col("n2") / percent), F.floor(((100 + percent) * (F.col("n2") - F.col("pos2") + needed(F.col("n2")) - 1) - percent * F.col("n2")) / percent))
+        least_n = F.ceil(percent * F.col("n2") / 100)
+        chosen = chosen.select("g", F.col("s").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("bits").alias("bits2"), F.col("root").alias("root2"))
+        chosen = chosen.where(least_n <= most_n).select("*", F.explode_outer(F.sequence(band(least_n), band(most_n))).alias("band"))
+        heavy = heavy.withColumn("band", band(F.col("n")))
+        new = heavy.join(chosen, ["g", "band"]).where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
         new = new.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        new = scratch.cut(new, "pairs")
-        heavy, more = heavy.select("g", "s", "n", "pos"), more * 4
+        new = scratch.cut(_promising(new, shared, often, classes, percent), "pairs")
+        heavy, more = heavy.select("g", "s", "n", "pos", "bits"), more * 64
         if new.isEmpty():
             continue
-        done = done.unionByName(new)
-        links = links.unionByName(scratch.cut(_verify(new, classes, docs, doc, text, seed, percent), "links"))
-        labels = scratch.cut(components(links), "labels")
+        done = done.unionByName(new.select("a", "b"))
+        got = _verify(new, labels, classes, docs, doc, text, seed, percent)
+        if got:
+            links, labels = links.unionByName(got[0]), got[1]
     degree = links.select(F.col("a").alias("s")).unionByName(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("n_links"))
     rooted = classes.join(labels, classes["s"] == labels["id"], "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
     rooted = scratch.cut(rooted, "rooted")
@@ -233,9 +327,9 @@ def _named(own: DataFrame, seed: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("k1", "k2"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_id(k1, k2, seed))], names=["doc", "n", "k1", "k2", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_id(k1, k2, seed))], names=["doc", "n", "k1", "k2", "bits", "s"])
 
-    source = own.select("doc", "n", "k1", "k2")
+    source = own.select("doc", "n", "k1", "k2", "bits")
     return source.mapInArrow(work, T.StructType([*source.schema.fields, T.StructField("s", T.LongType())]))
 
 

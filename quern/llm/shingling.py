@@ -105,3 +105,14 @@ def set_keys(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def set_id(k1: np.ndarray, k2: np.ndarray, seed: int) -> np.ndarray:
     return mix(k1 ^ mix(k2 + np.uint64(seed))).view(np.int64)
+
+
+def parities(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each set a bit for each of 256 buckets, in four numbers: whether an odd number of its shingles is in it."""
+    ends, out = np.cumsum(sizes), []
+    bit, word = np.uint64(1) << (h & np.uint64(63)), h >> np.uint64(6) & np.uint64(3)
+    for k in range(4):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.bitwise_xor.accumulate(np.where(word == np.uint64(k), bit, np.uint64(0)), out=total[1:])
+        out.append(total[ends] ^ total[ends - sizes])
+    return out
