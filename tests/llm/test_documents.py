@@ -178,6 +178,23 @@ def test_pii_terms(spark):
     assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[70] == "zanzibar alone stays"
 
 
+def test_pii_rare_entities(spark):
+    rng = random.Random(6)
+    far = sentences(rng, 60)
+    rows = [(0, f"Zanzibar {far} mail kim@corp.example.com {far} zanzibar"), (1, f"call +1 (499) 555-6503 for quagga {far}"), (2, f"quagga {far} at +1 499 555 6503"), (3, f"{far} {far}")]
+    rows += [(i, sentences(rng, 60)) for i in range(10, 60)]
+    df = spark.createDataFrame([*rows, rows[0]], SCHEMA)
+    texts = dict(rows)
+    want = {0: {"Zanzibar", "mail", "zanzibar"}, 1: {"call", "quagga"}, 2: {"quagga"}}
+    found = pii.find(df).collect()
+    assert len(found) == len(rows) + 1
+    for r in found:
+        assert {texts[r.doc_id][x.start : x.end] for x in r.added} == want.get(r.doc_id, set())
+        assert r.doc_id != 0 or len(r.added) == 3  # all places, those in the address not again
+    actions = {texts[r.doc_id][x.start : x.end].lower(): x.action for r in found for x in r.added}
+    assert actions["quagga"] == "remove" and "zanzibar" in actions
+
+
 def test_clean_rows_match_digest(spark):
     df = spark.createDataFrame([(1, "abc")], SCHEMA)
     assert bpe.round_trip(df, RANKS, PATTERN).select(F.sha2("decoded", 256).alias("x")).first().x == hashlib.sha256(b"abc").hexdigest()
