@@ -6,8 +6,10 @@ a line's template keeps its constant tokens. Templates that recur across documen
 part are dropped, whatever their variable fields hold. This does not depend on the order of lines, so leaves need
 no sequential pass: all counts are sums that are partial before they are shuffled, and no leaf meets in one task.
 
-A document most of whose words are in such lines is a copy of others and not text with boilerplate: it keeps all of
-its lines, for the near-duplicate stage to judge.
+A document most of whose words are in such lines may be a copy of another and not text with boilerplate. Those of
+them that are near copies of one another, by the exact join of `quern.llm.jaccard`, keep all of their lines, for the
+near-duplicate stage to judge; all others lose the lines, however little is left. A document of a single line is no
+text with a line in it, and keeps it.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import jaccard
 from quern.plans import scratch
 
 LEADING = 3
 LEAST_TOKENS = 4
-LEAST_DOCS = 3
+LEAST_DOCS = 2
 CONSTANT = 0.6
-MOST_DROPPED = 0.5
+MOST_DROPPED = 0.5  # of a document's words, beyond which it is compared with the others of its kind
 BROADCAST_ROWS = 200_000
 VARIABLE = "<*>"
 _SEPARATORS = "\t\u000b\f\r"
@@ -42,11 +45,15 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """id, th (the text's hash), pos, line (masked), n (tokens), leaf, lk (the line's hash) of lines of LEAST_TOKENS or more."""
-    rows = docs.select(docs[doc].alias("id"), F.xxhash64(docs[text]).alias("th"), F.posexplode_outer(F.split(docs[text], "\n")).alias("pos", "raw"))
-    rows = rows.select("id", "th", "pos", _masked(F.col("raw")).alias("line"))
+    """id, th (the text's hash), total (its tokens), pos, line (masked), n (tokens), leaf, lk (the line's hash) of lines of
+    LEAST_TOKENS or more."""
+    total = F.size(tokens(F.translate(docs[text], "\n", " ")))
+    # figures of the whole text have a select of their own: beside the generator they would be computed for every line
+    rows = docs.select(docs[doc].alias("id"), F.xxhash64(docs[text]).alias("th"), total.alias("total"), F.split(docs[text], "\n").alias("raw"))
+    rows = rows.select("id", "th", "total", F.posexplode_outer("raw").alias("pos", "raw"))
+    rows = rows.select("id", "th", "total", "pos", _masked(F.col("raw")).alias("line"))
     rows = rows.select("*", tokens(F.col("line")).alias("w"))
-    rows = rows.select("id", "th", "pos", "line", F.size("w").alias("n"), F.xxhash64(F.size("w"), F.slice("w", 1, LEADING)).alias("leaf"), F.xxhash64("w").alias("lk"))
+    rows = rows.select("id", "th", "total", "pos", "line", F.size("w").alias("n"), F.xxhash64(F.size("w"), F.slice("w", 1, LEADING)).alias("leaf"), F.xxhash64("w").alias("lk"))
     return rows.where(F.col("n") >= LEAST_TOKENS)
 
 
@@ -70,27 +77,42 @@ def recurring(lines: DataFrame) -> DataFrame:
     return templates.join(often, ["leaf", "c", "template"]).select("leaf", "lk")
 
 
+def _copies(docs: DataFrame, doc: str, text: str, suspects: DataFrame) -> DataFrame:
+    """id, th of the `suspects` (id, th) of which the texts are near copies of one another."""
+    named = suspects.select(F.col("id").alias("__q_id"), F.col("th").alias("__q_th"), F.xxhash64("id", "th").alias("__q_key"))
+    on = docs[doc].eqNullSafe(F.col("__q_id")) & (F.xxhash64(docs[text]) == F.col("__q_th"))
+    texts = scratch.cut(docs.select(docs[doc], docs[text]).join(_small(named), on).select("__q_key", text).dropDuplicates(["__q_key"]), "suspects")
+    linked = scratch.cut(jaccard.link(texts, "__q_key", text).select("__q_key", "component_id"), "linked")
+    groups = linked.groupBy("component_id").count().where("count > 1").select("component_id")
+    return named.join(_small(linked.join(_small(scratch.cut(groups, "groups")), "component_id", "left_semi")), "__q_key", "left_semi").select(F.col("__q_id").alias("id"), F.col("__q_th").alias("th"))
+
+
 def drop_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", count: bool = False) -> DataFrame:
     """`docs` with the lines of recurring templates taken out of `text`; with `count` also n_lines, n_dropped (long).
 
-    A null text stays null and has no lines. Lines below LEAST_TOKENS tokens always stay, as do all lines of a
-    document of which more than MOST_DROPPED of the words would go. Rows that repeat both doc_id and text are one
+    A null text stays null and has no lines. Lines below LEAST_TOKENS tokens always stay, as do all lines of near copies
+    of which more than MOST_DROPPED of the words would go, and a document's only line. Rows that repeat both doc_id and text are one
     document for the counts, and each is cleaned; null doc_ids count by their texts. Other columns pass through,
     but for input columns of the two names with `count`. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if not (count and c in ("n_lines", "n_dropped"))]
     lines = scratch.cut(_lines(docs, doc, text), "lines")
     gone = scratch.cut(recurring(lines).withColumnsRenamed({"leaf": "gone", "lk": "gone_lk"}), "recurring")
-    cuts = lines.select("id", "th", "pos", "n", "leaf", "lk").join(_small(gone), (F.col("leaf") == F.col("gone")) & (F.col("lk") == F.col("gone_lk")), "left_semi")
-    cuts = cuts.groupBy("id", "th").agg(F.collect_set("pos").alias("__q_pos"), F.sum("n").alias("__q_n"), F.count("*").alias("__q_rows"))
-    cuts = scratch.cut(cuts.select(F.col("id").alias("__q_id"), F.col("th").alias("__q_th"), "__q_pos", "__q_n", "__q_rows"), "cuts")
+    cuts = lines.select("id", "th", "total", "pos", "n", "leaf", "lk").join(_small(gone), (F.col("leaf") == F.col("gone")) & (F.col("lk") == F.col("gone_lk")), "left_semi")
+    # a row that is there k times has counted its words k times
+    words = F.col("n") * F.size("pos") / F.col("rows")
+    cuts = cuts.groupBy("id", "th", "total").agg(F.collect_set("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("rows"))
+    cuts = cuts.where((F.size("pos") > 1) | (words < F.col("total")))
+    cuts = scratch.cut(cuts.select("id", "th", "pos", (words > MOST_DROPPED * F.col("total")).alias("suspect")), "cuts")
+    suspects = cuts.where("suspect").select("id", "th")
+    if not suspects.isEmpty():
+        copies = scratch.cut(_copies(docs, doc, text, suspects), "copies").withColumnsRenamed({"id": "copy", "th": "copy_th"})
+        cuts = cuts.join(_small(copies), F.col("id").eqNullSafe(F.col("copy")) & (F.col("th") == F.col("copy_th")), "left_anti")
+    cuts = cuts.select(F.col("id").alias("__q_id"), F.col("th").alias("__q_th"), F.col("pos").alias("__q_pos"))
     base = docs.select(*[docs[c] for c in names])
     both = base.join(cuts, base[doc].eqNullSafe(F.col("__q_id")) & (F.xxhash64(base[text]) == F.col("__q_th")), "left")
-    # a row that is there k times has counted its words k times
-    words = F.col("__q_n") * F.size("__q_pos") / F.col("__q_rows")
-    cut = F.col("__q_pos").isNotNull() & (words <= MOST_DROPPED * F.size(tokens(F.translate(base[text], "\n", " "))))
     pieces = F.filter(F.split(base[text], "\n"), lambda x, i: ~F.array_contains(F.col("__q_pos"), i))
-    out = both.withColumn("__q_cut", F.coalesce(cut, F.lit(False)))
+    out = both.withColumn("__q_cut", F.col("__q_pos").isNotNull())
     added = []
     if count:
         added = [

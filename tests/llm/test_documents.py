@@ -154,6 +154,21 @@ def test_line_templates(spark):
     assert templates.drop_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_line_templates_of_most_of_a_document(spark):
+    rng = random.Random(8)
+    lines = [sentences(rng, 26) for _ in range(6)]
+    rows = [(i, "\n".join([*lines[:3], sentences(rng, 28)])) for i in range(2)]
+    copy = "\n".join([*lines[3:], sentences(rng, 28)])
+    words = copy.split(" ")
+    words[60] = "edited"
+    rows += [(2, copy), (3, " ".join(words)), (4, lines[3])]
+    got = {r.doc_id: r for r in templates.drop_lines(spark.createDataFrame([*rows, rows[0]], SCHEMA), count=True).collect()}
+    for i in range(2):
+        assert got[i].n_dropped == 3 and got[i].text == rows[i][1].split("\n")[3]
+    for i in range(2, 5):
+        assert got[i].n_dropped == 0 and got[i].text == rows[i][1]
+
+
 def test_pii_base_spans(spark):
     rows = [
         *ODD, (20, "mail a.b@x.co.uk, a@b, +1 (499) 555-6503 or 10.0.0.255 and 10.0.0.256; é 4432507379035540 4432-5073 79035540."),
