@@ -3,6 +3,9 @@
 Units are normalised (lower case, runs of white space as one space) and hashed to 128 bits. Digests are grouped over
 all documents; of equal units, the earliest ranked one (smallest doc_id, then first in the text) stays and all
 others are marked for removal with their offsets in the original text.
+
+Sentences have a least number of words. Beside them, whole lines of any number of words are units, so that a repeated
+line goes whole, with its short sentences. A line that is one sentence of that length is one unit and not two.
 """
 
 from __future__ import annotations
@@ -31,31 +34,42 @@ LAST = (1 << 63) - 1
 
 
 def units(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = 5) -> DataFrame:
-    """A row for each unit of `least_words` words or more: rank (doc_id, null as the largest), doc_id, start and end
+    """A row for each unit of `least_words` words or more, with sentences also for each line of any: rank (doc_id, null as the largest), doc_id, start and end
     (code points, end exclusive), h1 and h2 (the digest), first (whether it is the first such unit of its text)."""
     out = T.StructType([T.StructField(doc, docs.schema[doc].dataType), *[T.StructField(n, T.LongType()) for n in ("start", "end", "h1", "h2")], T.StructField("first", T.BooleanType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, digest = re.compile(UNITS[unit]).finditer, xxhash.xxh3_128_digest
+        find, lines, digest = re.compile(UNITS[unit]).finditer, re.compile(UNITS["line"]).finditer, xxhash.xxh3_128_digest
         for batch in arrows.slices(batches, text):
             index, starts, ends, hashes, first = [], [], [], [], []
             for row, value in enumerate(arrows.texts(batch.column(text))):
                 seen: set[bytes] = set()
-                for match in find(value):
-                    raw = match.group()
-                    words = raw.lower().split()
-                    if len(words) < least_words:
-                        continue
+
+                def add(raw: str, words: list[str], start: int, end: int, row: int = row, seen: set[bytes] = seen) -> None:
                     h = digest(" ".join(words).encode("utf-8", "replace"))
-                    start = match.start()
                     if raw[0].isspace():
                         start += len(raw) - len(raw.lstrip())
                     index.append(row)
                     starts.append(start)
-                    ends.append(match.end())
+                    ends.append(end)
                     hashes.append(h)
                     first.append(h not in seen)
                     seen.add(h)
+
+                for line in lines(value) if unit == "sentence" else [None]:
+                    n = 0
+                    for match in find(value, *line.span()) if line else find(value):
+                        raw = match.group()
+                        words = raw.lower().split()
+                        if len(words) >= least_words:
+                            n += len(words)
+                            add(raw, words, match.start(), match.end())
+                            whole = words
+                    if line:
+                        raw = line.group()
+                        words = raw.lower().split()
+                        if words and not (n == len(words) and whole == words):
+                            add(raw, words, *line.span())
             both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
             ids = batch.column(doc).take(pa.array(index, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(first, pa.bool_())], names=out.names)
@@ -67,7 +81,8 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str
     """The spans to remove: doc_id, start, end, kept_doc_id (where the unit stays), one row each.
 
     A null text is empty. A null doc_id ranks last. Rows that repeat a doc_id are one document for the ranks: both
-    keep its first unit of a kind. Units below `least_words` words always stay. An empty table gives no rows.
+    keep its first unit of a kind. Units below `least_words` words, other than whole lines beside sentences, always
+    stay. Spans of a line and of its sentences may overlap. An empty table gives no rows.
     """
     found = scratch.cut(units(docs, doc, text, unit, least_words), "units")
     rank = F.coalesce(F.col(doc).cast("long"), F.lit(LAST))

@@ -143,6 +143,18 @@ def test_repeated_units(spark):
     assert substrings.repeats(df.limit(0)).count() == 0 and substrings.repeats(df, unit="paragraph").count() >= 1
 
 
+def test_repeated_lines_go_whole(spark):
+    long = "This sentence has more than five words."
+    rows = [(1, f"Own words of one.\nAll rights reserved.\nYes. No. Maybe so.\nSure. {long} Why not?\n\n \n"), (2, f"all  rights reserved.\nOther words.\n  Yes. No. Maybe so.\nSure. {long} Why not?\n{long}"), (3, "All rights reserved. Maybe so.\nA\nA")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = substrings.repeats(df)
+    texts = dict(rows)
+    got = Counter((r.doc_id, texts[r.doc_id][r.start : r.end], r.kept_doc_id) for r in found.collect())
+    assert got == Counter({(2, "all  rights reserved.", 1): 1, (2, "Yes. No. Maybe so.", 1): 1, (2, f"Sure. {long} Why not?", 1): 1, (2, long, 1): 2, (3, "A", 3): 1})
+    clean = {r.doc_id: r.text for r in substrings.strip(df, found).collect()}
+    assert clean == {1: texts[1], 2: "\nOther words.\n  \n\n", 3: "All rights reserved. Maybe so.\nA\n"}
+
+
 def test_line_templates(spark):
     rng = random.Random(3)
     rows = [(i, f"{sentences(rng, 40)}\nPage {i} of {i + 9} was viewed {i * 7} times today\n{sentences(rng, 30)}\nAll rights reserved by the owner") for i in range(8)]
