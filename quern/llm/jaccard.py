@@ -9,7 +9,11 @@ parities of 256 buckets of each set give a least number of shingles in which two
 Frequent shingles come last in the order. So sets that share no other shingle can only link if a fifth of either at
 most is not frequent, and only such sets post frequent ones. These don't emit all pairs: every class with such a shingle is compared with one hub of it first; what
 is then in one component needs no more comparing, and the rest goes on with twice as many hubs each round until no
-shingle spans two components or all pairs of different components have been compared. So no link is lost.
+shingle spans two components or all pairs of different components have been compared. So no component is split.
+
+Links are counted afterwards, as all of them lie within components: the sets of a component are dealt into blocks, and
+each two blocks are compared by products of 0-1 matrices of the shingles they share. That takes time with the square of
+a component's classes, but only counts leave the tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ SKETCH_BITS = 22
 SMALL = 24  # members of a posting list of which all pairs are compared at once
 HUBS = 16  # of a frequent shingle in the second round
 BROADCAST_ROWS = 1_000_000
+BLOCK = 256  # classes of a component that are compared with as many others in one task
+COLUMNS = 4096  # shingles of a product
 STEP = 25  # words of a set for one more shingle to share
 
 
@@ -200,8 +206,8 @@ def _promising(pairs: DataFrame, shared: DataFrame, often: DataFrame, classes: D
     return out.where(most >= needed(F.least("na", "nb"))).select("a", "b", "na", "nb", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
-def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int) -> tuple[DataFrame, DataFrame] | None:
-    """The links among `pairs` (a, b, na, nb, shared) that join components, and the labels after them.
+def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int) -> DataFrame | None:
+    """The labels after the links among `pairs` (a, b, na, nb, shared); None if there is no link.
 
     The sets are made again, from the texts of the documents that stand for them. Pairs go in three waves: for each
     set its best partner; for each two components one pair; all that are left. Pairs of one component need no more
@@ -213,7 +219,7 @@ def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs
     source = docs.select(docs[doc].alias(doc), docs[text].alias(text))
     source = source.join(reps, source[doc].eqNullSafe(reps["__q_rep"]), "left_semi")
     sets = scratch.cut(_sets(source, doc, text, seed), "sets")
-    links, left = None, pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    any_link, left = False, pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
     for wave in range(3):
         if labels is not None:
             known = lambda x: labels.select(F.col("id").alias(f"i{x}"), F.col("root").alias(f"r{x}"))
@@ -233,10 +239,10 @@ def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs
         found = scratch.cut(_linked(now, sets, percent), "links")
         left = left.join(now.select("a", "b"), ["a", "b"], "left_anti")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+            any_link = True
             edges = found if labels is None else found.unionByName(labels.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
             labels = scratch.cut(components(edges), "labels")
-    return None if links is None else (links, labels)
+    return labels if any_link else None
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,9 +253,64 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (the smallest doc_id of its shingle set), n_links (links
-    of its class that were needed to join its component), component_id.
+def _overlaps(g: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+    """For each two of k sets the number of shingles in both; `g` are the shingles, `owner` their sets."""
+    _, column, times = np.unique(g, return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    column, owner = np.unique(column[keep], return_inverse=True)[1], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((k, k), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        a = np.zeros((k, int(column[j - 1]) - low + 1), np.float32)
+        a[owner[i:j], column[i:j] - low] = 1
+        out += (a @ a.T).astype(np.int64)
+    return out
+
+
+def _degrees(rooted: DataFrame, labels: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int) -> DataFrame:
+    """s, n_links: for each class the number of other classes at the threshold. `rooted` has s, n, rep, root."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = lambda df: F.broadcast(df) if scratch.fits(df, BROADCAST_ROWS) else df
+    sizes = labels.groupBy(F.col("root").alias("__q_root")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = scratch.cut(sizes, "sizes")
+    members = rooted.join(small(sizes), F.col("root") == F.col("__q_root")).drop("__q_root")
+    members = scratch.cut(members.withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int")), "members")
+    reps = small(scratch.cut(members.select(F.col("rep").alias("__q_rep")).distinct(), "wanted"))
+    source = docs.select(docs[doc].alias(doc), docs[text].alias(text))
+    source = source.join(reps, source[doc].eqNullSafe(reps["__q_rep"]), "left_semi")
+    rows = _sets(source, doc, text, seed).join(small(members.drop("rep")), "s")
+    rows = rows.select("s", "n", "root", "block", "blocks", "seg", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    alone = F.col("blocks") == 1  # small components share groups
+    rows = rows.select("s", "n", "root", "block", "seg", F.when(alone, F.pmod(F.xxhash64("root"), F.lit(8 * width))).otherwise(F.col("root")).alias("x"), F.when(alone, -1).otherwise(F.least("block", "other")).alias("i"), F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("j"))
+
+    def work(group: pa.Table) -> pa.Table:
+        s, n, root, block, i, j = (group.column(c).to_numpy() for c in ("s", "n", "root", "block", "i", "j"))
+        segs = group.column("seg").combine_chunks()
+        g, lengths = segs.flatten().to_numpy(), segs.value_lengths().to_numpy()
+        ids, at, which = np.unique(s, return_index=True, return_inverse=True)
+        n, root, block = n[at].astype(np.int64), root[at], block[at]
+        owner = np.repeat(which, lengths)
+        order = np.argsort(root[owner], kind="stable")
+        g, owner = g[order], owner[order]
+        cuts = np.flatnonzero(np.diff(root[owner], prepend=root[owner[0]] - 1))
+        degree = np.zeros(len(ids), np.int64)
+        for a, b in zip(cuts, np.append(cuts[1:], len(g)), strict=True):
+            here, local = np.unique(owner[a:b], return_inverse=True)
+            ok = (100 + percent) * _overlaps(g[a:b], local, len(here)) >= percent * (n[here][:, None] + n[here][None, :])
+            np.fill_diagonal(ok, False)
+            if i[0] < j[0]:
+                ok &= block[here][:, None] != block[here][None, :]
+            degree[here] = ok.sum(axis=1)
+        return pa.table({"s": ids, "n_links": degree})
+
+    return rows.groupBy("x", "i", "j").applyInArrow(work, "s long, n_links long").groupBy("s").agg(F.sum("n_links").alias("n_links"))
+
+
+def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, count: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (the smallest doc_id of its shingle set), n_links (the number
+    of other classes that its class links with; not counted and 0 without `count`), component_id.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct five-word shingles (A-Z
     lower-cased; fewer words are one shingle). A null or empty text has no shingles, links with nothing and is its
@@ -281,9 +342,8 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     shared = scratch.cut(shared, "shared")
     pairs = shared.select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     pairs = scratch.cut(_promising(pairs, shared, often, classes, percent), "pairs")
-    nothing = spark.createDataFrame([], "a long, b long")
     got = _verify(pairs, None, classes, docs, doc, text, seed, percent)
-    links, labels = got or (nothing, spark.createDataFrame([], "id long, root long"))
+    labels = got or spark.createDataFrame([], "id long, root long")
     done, more, last = pairs.select("a", "b"), HUBS, False
     while not last:
         known = heavy.join(labels, heavy["s"] == labels["id"], "left").select("g", "s", "n", "pos", "bits", F.coalesce("root", "s").alias("root"))
@@ -310,10 +370,10 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
         done = done.unionByName(new.select("a", "b"))
         got = _verify(new, labels, classes, docs, doc, text, seed, percent)
         if got:
-            links, labels = links.unionByName(got[0]), got[1]
-    degree = links.select(F.col("a").alias("s")).unionByName(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("n_links"))
-    rooted = classes.join(labels, classes["s"] == labels["id"], "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
+            labels = got
+    rooted = classes.join(labels, classes["s"] == labels["id"], "left").select("s", "n", "rep", F.coalesce("root", "s").alias("root"))
     rooted = scratch.cut(rooted, "rooted")
+    degree = scratch.cut(_degrees(rooted, labels, docs, doc, text, seed, percent), "degrees") if count else spark.createDataFrame([], "s long, n_links long")
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named_classes = rooted.join(smallest, "root").join(degree, "s", "left").select("s", F.col("rep").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     linked = named.join(named_classes, "s").select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), "class_id", "n_links", "component_id")

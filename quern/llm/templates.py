@@ -82,7 +82,7 @@ def _copies(docs: DataFrame, doc: str, text: str, suspects: DataFrame) -> DataFr
     named = suspects.select(F.col("id").alias("__q_id"), F.col("th").alias("__q_th"), F.xxhash64("id", "th").alias("__q_key"))
     on = docs[doc].eqNullSafe(F.col("__q_id")) & (F.xxhash64(docs[text]) == F.col("__q_th"))
     texts = scratch.cut(docs.select(docs[doc], docs[text]).join(_small(named), on).select("__q_key", text).dropDuplicates(["__q_key"]), "suspects")
-    linked = scratch.cut(jaccard.link(texts, "__q_key", text).select("__q_key", "component_id"), "linked")
+    linked = scratch.cut(jaccard.link(texts, "__q_key", text, count=False).select("__q_key", "component_id"), "linked")
     groups = linked.groupBy("component_id").count().where("count > 1").select("component_id")
     return named.join(_small(linked.join(_small(scratch.cut(groups, "groups")), "component_id", "left_semi")), "__q_key", "left_semi").select(F.col("__q_id").alias("id"), F.col("__q_th").alias("th"))
 

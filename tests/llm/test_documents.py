@@ -105,6 +105,16 @@ def test_jaccard_components(spark, corpus, small, monkeypatch):
     assert {r.doc_id for r in jaccard.keep_one(df, jaccard.link(df)).collect()} == {c for _, c in got.values()}
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_jaccard_counts_all_links(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    sets = {d: frozenset(plain.shingle_set(t)) for d, t in corpus}
+    classes = {s for s in sets.values() if s}
+    want = {s: sum(t != s and 100 * len(s & t) >= 80 * len(s | t) for t in classes) for s in classes}
+    got = {r.doc_id: r.n_links for r in jaccard.link(spark.createDataFrame(corpus, SCHEMA)).collect()}
+    assert got == {d: want.get(s, 0) for d, s in sets.items()} and max(got.values()) > 4
+
+
 def test_jaccard_odd_rows(spark):
     rows = [*ODD, (None, "one")]
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", n_shingles int")).collect()]
