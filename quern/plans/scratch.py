@@ -10,7 +10,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -49,19 +51,42 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def clear() -> None:
-    """Deletes all that this driver wrote by `cut` and `new_path`."""
-    while _written:
+def clear(since: int = 0) -> None:
+    """Deletes what this driver wrote by `cut` and `new_path`, but for the first `since` paths (see `mark`)."""
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             remove(spark, path)
-        except Exception:  # the session may be gone when the driver ends
-            return
+        except Exception:  # the session may be gone when the driver ends; other paths may still be within reach
+            continue
+
+
+def mark() -> int:
+    """How many paths have been written so far: what `clear` can later leave alone."""
+    return len(_written)
 
 
 atexit.register(clear)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has at most `rows` rows: the check before a broadcast. At most rows + 1 are counted."""
-    return df.limit(rows + 1).count() <= rows
+def _width(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(column.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(column.cast("string")), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def fits(df: DataFrame, rows: int, size: int = 64 << 20) -> bool:
+    """Whether `df` has at most `rows` rows of `size` bytes together: the check before a broadcast. At most rows + 1 are read."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("size")).first()
+    return found.n <= rows and (found.size or 0) <= size
+
+
+def small(df: DataFrame, rows: int, size: int = 64 << 20) -> DataFrame:
+    """`df`, marked for a broadcast if it fits."""
+    return F.broadcast(df) if fits(df, rows, size) else df
