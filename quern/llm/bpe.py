@@ -3,6 +3,10 @@
 Long texts are cut at safe boundaries first, so that no call handles more than about ``PIECE`` characters:
 a single space between two characters that are no white space always begins a match of the pattern, hence
 no match reaches across it and pieces encode as the whole text would.
+
+The library's matcher keeps a place for each character of a run of white space and ends with an error on very long runs.
+What the pattern makes of such a run is known: all of it at the end of the text, else all but its last character, is one
+match. So runs of ``RUN`` characters or more go to the merges by themselves, as that one match, without the matcher.
 """
 
 from __future__ import annotations
@@ -14,13 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quern.llm import arrows
 
 PIECE = 50_000
+RUN = 1_000
+ADDED = ("n_tokens", "ids_le", "decoded", "same")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_LONG = regex.compile(r"\s{%d,}+" % RUN)
 
 
 @lru_cache(maxsize=4)
@@ -45,40 +53,57 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(text: str, tokenizer) -> np.ndarray:
-    """The ids of a text as little-endian unsigned 32-bit integers."""
-    parts = [tokenizer.encode_to_numpy(x, disallowed_special=()) for x in pieces(text)]
+def blanks(text: str) -> Iterator[tuple[str, bool]]:
+    """`text` in parts, with whether a part is the one match that the pattern makes of a long run of white space."""
+    at = 0
+    for run in _LONG.finditer(text) if len(text) >= RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    if at < len(text) or not text:
+        yield text[at:], False
+
+
+def encode(text: str, tokenizer, whole) -> np.ndarray:
+    """The ids of a text as little-endian unsigned 32-bit integers; `whole` takes any run of white space as one match."""
+    parts = []
+    for part, blank in blanks(text):
+        if blank:
+            parts.append(whole.encode_to_numpy(part, disallowed_special=()))
+        else:
+            parts += [tokenizer.encode_to_numpy(x, disallowed_special=()) for x in pieces(part)]
     return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u4", copy=False)
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", check: bool = True) -> DataFrame:
-    """Adds n_tokens (long), ids_le (binary: the ids as little-endian unsigned 32-bit integers) and decoded
-    (binary: the bytes that the ids stand for) to each row.
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds n_tokens (long), ids_le (binary: the ids as little-endian unsigned 32-bit integers), decoded (binary: the
+    bytes that the ids stand for) and same (boolean: whether these are the text's) to each row.
 
     Encodes without special tokens: their strings are ordinary text. A null text counts as empty and gives no
     ids; very long texts go piece by piece; repeated rows each get their own result; an empty table gives an
-    empty one. Columns of those three names in the input are replaced, other columns pass through as they are.
-    With `check`, a row whose decoded bytes differ from its text ends the job.
+    empty one. Bytes that are no UTF-8 are encoded as U+FFFD, so such a row isn't the same. Columns of those names in
+    the input are replaced, other columns pass through as they are.
     """
-    kept = [c for c in docs.columns if c not in ("n_tokens", "ids_le", "decoded")]
+    kept = [c for c in docs.columns if c not in ADDED]
     source = docs.select(*[docs[c] for c in kept])
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.BinaryType()), T.StructField("same", T.BooleanType())]
     schema = T.StructType([*source.schema.fields, *added])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoding(rank_file, pattern)
+        tokenizer, whole = encoding(rank_file, pattern), encoding(rank_file, r"\s+")
         for batch in arrows.slices(batches, text):
-            sizes, ids, decoded = [], [], []
-            for value in arrows.texts(batch.column(text)):
-                found = encode(value, tokenizer)
+            sizes, ids, decoded, same = [], [], [], []
+            for value, raw in zip(arrows.texts(batch.column(text)), batch.column(text).cast(pa.large_binary()), strict=True):
+                found = encode(value, tokenizer, whole)
                 back = tokenizer.decode_bytes(found.tolist())
-                if check and back != value.encode():
-                    raise ValueError("a text doesn't survive encoding and decoding")
+                same.append(back == (raw.as_py() or b""))
                 sizes.append(len(found))
                 ids.append(found.tobytes())
                 decoded.append(back)
-            new = [pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, "n_tokens", "ids_le", "decoded"])
+            new = [pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     return source.mapInArrow(work, schema)
 
