@@ -100,19 +100,20 @@ def count(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", mos
     schema = T.StructType([*source.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, split = _trie(rank_file, most), regex.compile(pattern).findall
+        trie, split = _trie(rank_file, most), regex.compile(pattern).finditer
         for batch in arrows.slices(batches, text):
             seen, sums = [], []
             for value in arrows.texts(batch.column(text)):
-                tokens = split(value)
-                total, known = 0, trie.ends
-                for token in tokens:
+                pieces, total, known = 0, 0, trie.ends
+                for match in split(value):
+                    token = match.group()
+                    pieces += 1
                     n = known.get(token)
                     if n is None:
                         n = trie.add(token)
                         known = trie.ends
                     total += n
-                seen.append(len(tokens))
+                seen.append(pieces)
                 sums.append(total)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.int64()), pa.array(sums, pa.int64())], names=[*kept, "n_pretokens", "n_tokens"])
 
