@@ -2,7 +2,7 @@
 
 The writer builds each record as one string and lets Spark's text sink end it by CRLF CRLF, so archives land in
 any store that Spark writes to, under its commit protocol. The reader gets whole files by Spark's binary source
-(keep archives well below 2 GB: `records_per_file`) and parses them in one pass. A record that fails a check is
+(the writer bounds an archive's bytes; keep others well below 2 GB) and parses them in one pass. A record that fails a check is
 quarantined: the reader looks for the next version line or gzip member that parses, goes on from there, and
 reports the bytes between as a gap.
 """
@@ -10,6 +10,7 @@ reports the bytes between as a gap.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -26,6 +27,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BROADCAST_ROWS = 200_000
 MAX_HEADER = 1 << 20
+MAX_MEMBER = 1 << 28  # bytes that a gzip member may inflate to
+CHUNK = 1 << 14  # bytes of a gzip member that are read at once
+ARCHIVE = 1 << 26  # bytes of records in an archive
 _MARK = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 _GZIP = b"\x1f\x8b\x08"
 
@@ -46,7 +50,8 @@ def plan_records(pages: DataFrame, page: str = "page_id", html: str = "html", le
     Of rows with equal payloads of at least `least` bytes, that with the smallest id is the response and others
     revisit it; rows that repeat this id are responses too. A null payload is empty; rows with a null id rank
     last, and are responses where no row of their payload has an id. Only digests that occur twice or more are
-    joined back (broadcast up to BROADCAST_ROWS, else by a join whose hot digests Spark splits).
+    joined back (broadcast up to BROADCAST_ROWS, else by a join whose hot digests Spark splits). Columns of the names
+    that are added are replaced. Payloads of any length are hashed whole; an empty table gives an empty one.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.withColumns({"payload_bytes": F.octet_length(body).cast("long"), "payload_digest": base32_sha1(body)})
@@ -58,9 +63,14 @@ def plan_records(pages: DataFrame, page: str = "page_id", html: str = "html", le
     return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("__q_first"))}).drop("__q_digest", "__q_first")
 
 
-def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 4000) -> None:
+def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", size: int = ARCHIVE) -> None:
     """Writes a record for each row to archives under `path`. See plan_records for ties and nulls; a null url gives
-    no target, and line ends in a url are dropped. An empty table gives archives without records."""
+    no target, and line ends in a url are dropped. An empty table gives archives without records.
+
+    Payloads are dealt into classes by size, a factor of 16 each, and a class's archives hold as many records as
+    surely fit in about `size` bytes; a larger record has an archive of its own. So no archive grows with the input. Each class is a
+    folder under `path`; the classes are counted first, and one without a row isn't written.
+    """
     rows = plan_records(pages.select(page, url, html), page, html, least)
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -75,27 +85,31 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
         F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length("__q_block").cast("string"),
         F.lit("\r\n\r\n"), F.col("__q_block"),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    kind = F.least(F.greatest(F.floor(F.log2(F.octet_length(F.coalesce(F.col(html), F.lit(""))) + 1) / 4).cast("int"), F.lit(2)), F.lit(7))
+    kinds = sorted(r.kind for r in pages.select(kind.alias("kind")).distinct().collect())  # six at most
+    for k in kinds or [2]:
+        records_per_file = max(1, size >> (4 * k + 4))
+        rows.where(kind == k).select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(f"{path}/class={k}")
 
 
 def _parse(data: bytes, at: int) -> tuple[int, dict[bytes, bytes], memoryview] | str:
     """The record at `at`: (end, fields, block), or what is wrong with it."""
     if not (mark := _MARK.match(data, at)):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", mark.end() - 2, mark.end() + MAX_HEADER)
-    if stop < 0:
-        return "header doesn't end"
     fields: dict[bytes, bytes] = {}
-    for line in data[mark.end() : stop].split(b"\r\n"):
-        if line:
-            key, colon, value = line.partition(b":")
-            if not colon:
-                return "field without a name"
-            fields[key.strip().lower()] = value.strip()
+    line, last = mark.end(), mark.end() + MAX_HEADER
+    while (stop := data.find(b"\r\n", line, last)) != line:
+        if stop < 0:
+            return "header doesn't end"
+        key, colon, value = data[line:stop].partition(b":")
+        if not colon:  # so that each header is read no further than to the next version line
+            return "field without a name"
+        fields[key.strip().lower()] = value.strip()
+        line = stop + 2
     length = fields.get(b"content-length", b"")
-    if not length.isdigit() or b"warc-type" not in fields or b"warc-record-id" not in fields:
+    if not length.isdigit() or len(length) > 18 or b"warc-type" not in fields or b"warc-record-id" not in fields:
         return "mandatory field is missing or malformed"
-    begin, end = stop + 4, stop + 4 + int(length)
+    begin, end = line + 2, line + 2 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return "block is cut off or of another length"
     return end + 4, fields, memoryview(data)[begin:end]
@@ -109,7 +123,7 @@ def _payload(fields: dict[bytes, bytes], block: memoryview) -> tuple[bytes | mem
     return block[len(head) + 4 :], http
 
 
-def _check(fields: dict[bytes, bytes], block: memoryview) -> dict | str:
+def _check(fields: dict[bytes, bytes], block: memoryview, payloads: bool) -> dict | str:
     """What a parsed record says, or which check it fails."""
     payload, http = _payload(fields, block)
     kind, said = fields[b"warc-type"].decode("latin-1"), fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin-1").upper()
@@ -121,88 +135,112 @@ def _check(fields: dict[bytes, bytes], block: memoryview) -> dict | str:
     return {
         "record_type": kind, "record_id": fields[b"warc-record-id"].decode("utf-8", "replace"), "target": fields.get(b"warc-target-uri", b"").decode("utf-8", "replace") or None,
         "payload_digest": said or None, "payload_bytes": size, "refers_to": fields[b"warc-refers-to"].decode("utf-8", "replace") if b"warc-refers-to" in fields else None,
-        "payload": None if kind == "revisit" else bytes(payload),
+        "payload": bytes(payload) if payloads and kind != "revisit" else None,
     }
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
-    """The gzip member at `at`: (end, content), or what is wrong with it."""
-    unzip = zlib.decompressobj(31)
-    try:
-        content = unzip.decompress(data[at:])
-    except zlib.error as error:
-        return f"gzip: {str(error)[:60]}"
-    return (len(data) - len(unzip.unused_data), content) if unzip.eof else "gzip member is cut off"
+def _member(data: memoryview, at: int) -> tuple[int, bytes, str]:
+    """The gzip member at `at`: its end, its content as far as it can be read, and what is wrong with it, if anything.
 
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    It is fed in chunks of CHUNK bytes, so that the rest of the archive isn't copied and at most MAX_MEMBER bytes come
+    out of it.
+    """
+    unzip, out, size = zlib.decompressobj(31), [], 0
+    while not unzip.eof:
+        if at >= len(data):
+            return at, b"".join(out), "gzip member is cut off"
+        chunk, before = data[at : at + CHUNK], unzip.copy()
+        try:
+            out.append(unzip.decompress(chunk, MAX_MEMBER + 1 - size))
+        except zlib.error as error:
+            with contextlib.suppress(zlib.error):  # up to the damage
+                for i in range(0, len(chunk), 64):
+                    out.append(before.decompress(chunk[i : i + 64], MAX_MEMBER))
+            return at, b"".join(out), f"gzip: {str(error)[:60]}"
+        size += len(out[-1])
+        if size > MAX_MEMBER:
+            return at, b"".join(out), "gzip member is too large"
+        at += len(chunk) - len(unzip.unused_data)
+    return at, b"".join(out), ""
+
+
+class _Places:
+    """Where records and gzip members may begin, asked for in ascending order."""
+
+    def __init__(self, data: bytes, members: bool):
+        self.data = data
+        self.zipped = 0 if members else len(data)
+
+    def next(self, at: int) -> int:
+        data = self.data
+        if self.zipped < at:  # looked for once, however many records are damaged before it
+            found = data.find(_GZIP, at)
+            self.zipped = len(data) if found < 0 else found
+        while 0 <= (mark := data.find(b"WARC/", at, self.zipped)):
+            if _MARK.match(data, mark):  # wherever it stands: what is before it may be cut off within a line
+                return mark
+            at = mark + 1
+        return self.zipped
+
+
+def salvage(data: bytes, members: bool = True, payloads: bool = True) -> Iterator[tuple[int, int, dict | str]]:
     """The records of an archive as (offset, length, record), and what is quarantined as (offset, length, reason).
 
     Plain archives and archives of gzip members of one or more records are read; spare line ends between records
-    are skipped. After a failed check the search goes on at the next version line, or the next
-    gzip member that can be read and holds a record. Offsets are of the bytes in the archive; all records of a
-    gzip member have the member's.
+    are skipped. After a failed check the search goes on at the next version line, or the next gzip member that holds a
+    record. Of a member that is damaged or cut off, the records before the damage are read, and the member is a gap.
+    Offsets are of the bytes in the archive; all records of a gzip member have the member's. The time is linear in the
+    archive and in what its members inflate to.
     """
     at, gap, why = 0, -1, ""
+    places, view = _Places(data, members), memoryview(data)
     while at < len(data):
         if data[at : at + 1] in b"\r\n" and gap < 0:
             at += 1
             continue
         found: list[tuple[int, int, dict | str]] = []
         end, reason = at, ""
-        if data.startswith(_GZIP, at):
-            member = _member(data, at)
-            if isinstance(member, str):
-                reason = member
-            else:
-                end, content = member
-                inner = [x[2] for x in salvage(content)]
-                if any(isinstance(x, dict) for x in inner):
-                    found = [(at, end - at, x) for x in inner]
-                else:
-                    reason = "gzip member holds no record"
+        if members and data.startswith(_GZIP, at):
+            end, content, reason = _member(view, at)
+            inner = [x[2] for x in salvage(content, False, payloads)]
+            records = [x for x in inner if isinstance(x, dict)]
+            if reason:
+                inner = records
+            elif not records:
+                reason = "gzip member holds no record"
+            if records:
+                found = [(at, end - at, x) for x in inner]
         else:
             parsed = _parse(data, at)
             if isinstance(parsed, str):
                 reason = parsed
             else:
-                said = _check(parsed[1], parsed[2])
+                said = _check(parsed[1], parsed[2], payloads)
                 if isinstance(said, str):
                     reason = said
                 else:
                     end, found = parsed[0], [(at, parsed[0] - at, said)]
-        if found:
-            if gap >= 0:
-                yield gap, at - gap, why
-                gap = -1
-            yield from found
+        if found and gap >= 0:
+            yield gap, at - gap, why
+            gap = -1
+        yield from found
+        if not reason:
             at = end
             continue
         if gap < 0:
             gap, why = at, reason
-        at = _next(data, at + 1)
+        at = places.next(at + 1)
     if gap >= 0:
         yield gap, len(data) - gap, why
 
 
-def _next(data: bytes, at: int) -> int:
-    """The next place from `at` on where a record or a gzip member may begin."""
-    zipped = data.find(_GZIP, at)
-    limit = len(data) if zipped < 0 else zipped
-    while 0 <= (mark := data.find(b"WARC/", at, limit)) < limit:
-        if _MARK.match(data, mark):  # wherever it stands: what is before it may be cut off within a line
-            return mark
-        at = mark + 1
-    return limit
-
-
 SCHEMA = "archive string, offset long, length long, reason string, record_type string, record_id string, target string, payload_digest string, payload_bytes long, refers_to string"
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """All records and gaps of the archives under `path`. A gap has a reason and no record_type; a record has no
     reason. With `payloads` there is a column payload (binary; null for revisits). A file without records gives
-    no row, or one gap for all of its bytes."""
+    no row, or one gap for all of its bytes. Folders under `path` are read too."""
     schema = SCHEMA + (", payload binary" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -212,7 +250,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for archive, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows: list[dict] = []
-                for offset, length, what in salvage(content.as_py()):
+                for offset, length, what in salvage(content.as_py(), payloads=payloads):
                     row = {"archive": archive.as_py(), "offset": offset, "length": length}
                     rows.append(row | ({"reason": what} if isinstance(what, str) else {k: v for k, v in what.items() if k in names}))
                     if len(rows) >= (64 if payloads else 4096):
@@ -220,7 +258,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(work, schema)
 
 

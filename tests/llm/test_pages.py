@@ -72,7 +72,7 @@ def test_archives_round_trip(spark):
     from quern.plans import scratch
 
     path = scratch.new_path(spark, "t")
-    warc.write(df, path, records_per_file=2)
+    warc.write(df, path, size=1 << 13)
     got = warc.read(spark, path, payloads=True)
     assert warc.gaps(got).count() == 0
     found = Counter((r.record_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.records(got).collect())
@@ -105,5 +105,53 @@ def test_salvage():
     broken = bytearray(zipped[1])
     broken[len(broken) // 2] ^= 0xFF
     found = list(warc.salvage(zipped[0] + bytes(broken) + zipped[2] + zipped[3][:-4]))
-    assert ids(found) == ["<urn:0>", "<urn:2>"] and sum(isinstance(x[2], str) for x in found) == 2
+    assert ids(found) == ["<urn:0>", "<urn:2>", "<urn:3>"] and sum(isinstance(x[2], str) for x in found) == 2
     assert list(warc.salvage(b"")) == [] and ids(warc.salvage(b"\r\n" + good[0])) == ["<urn:0>"]
+
+
+def test_salvage_within_a_member():
+    many = [record(i, bytes([65 + i % 26]) * 3000 + b"%d" % i) for i in range(400)]
+    noise = random.Random(1)
+    whole = gzip.compress(b"".join(record(i, noise.randbytes(500)) for i in range(200)))
+    found = list(warc.salvage(whole[: len(whole) // 2]))
+    n = len(ids(found))
+    assert 90 < n < 110 and ids(found) == [f"<urn:{i}>" for i in range(n)]
+    (gap,) = [x for x in found if isinstance(x[2], str)]
+    assert gap[0] == 0 and gap[1] == len(whole) // 2
+    zipped = gzip.compress(b"".join(many))
+    assert ids(warc.salvage(zipped)) == [f"<urn:{i}>" for i in range(400)]
+
+
+def test_salvage_is_linear():
+    import time
+
+    def seconds(data):
+        begin = time.perf_counter()
+        list(warc.salvage(data))
+        return time.perf_counter() - begin
+
+    noise = random.Random(2)
+    body = [record(i, noise.randbytes(9000)) for i in range(1600)]
+    damaged = [x if i % 2 else x.replace(b"WARC-Type", b"Warp-Type") for i, x in enumerate(body)]
+    for parts in ([gzip.compress(x, 1) for x in body], damaged):
+        half, full = (min(seconds(b"".join(parts[:n])) for _ in range(3)) for n in (len(parts) // 2, len(parts)))
+        assert full < 2.6 * half + 0.05, (half, full)
+
+
+def test_odd_pages(spark):
+    from quern.plans import scratch
+
+    df = spark.createDataFrame([], "page_id long, url string, html string, payload_bytes int")
+    path = scratch.new_path(spark, "t")
+    warc.write(df, path)
+    assert warc.records(warc.read(spark, path)).count() == 0
+    big = "<p>é</p>" * 400_000
+    rows = [(1, None, big, 7), (2, "u", big, 7), (3, "u" * 100_000, "x", 7), (3, "v", "x", 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")
+    assert warc.plan_records(df).columns == ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    path = scratch.new_path(spark, "t")
+    warc.write(df, path)
+    got = warc.read(spark, path, payloads=True)
+    assert warc.gaps(got).count() == 0
+    rows = sorted((r.record_id, r.record_type, r.payload_bytes) for r in warc.records(got).collect())
+    assert rows == [("<urn:x-page:1>", "response", len(big.encode())), ("<urn:x-page:2>", "revisit", len(big.encode())), ("<urn:x-page:3>", "response", 1), ("<urn:x-page:3>", "response", 1)]
