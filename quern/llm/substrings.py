@@ -1,11 +1,8 @@
-"""Removal of repeated text units: lines, paragraphs or sentences.
+"""Removal of repeated text units: lines or paragraphs (sentences as an option).
 
-Units are normalised (lower case, runs of white space as one space) and hashed to 128 bits. Digests are grouped over
-all documents; of equal units, the earliest ranked one (smallest doc_id, then first in the text) stays and all
-others are marked for removal with their offsets in the original text.
-
-Sentences have a least number of words. Beside them, whole lines of any number of words are units, so that a repeated
-line goes whole, with its short sentences. A line that is one sentence of that length is one unit and not two.
+Units are normalised (lower case, runs of space and U+0009 to U+000D as one space) and hashed to 128 bits. Digests are
+grouped over all documents; of equal units, the earliest ranked one (smallest doc_id, then first in the text) stays and
+all others are marked for removal with their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -26,50 +23,35 @@ from quern.plans import scratch
 UNITS = {
     "line": r"[^\n]+",
     "paragraph": r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*",
-    # up to the end of a sentence or of the line, so a passage that begins or ends within a line is found by its
-    # whole sentences
+    # up to the end of a sentence or of the line
     "sentence": r"[^\n.!?]+(?:[.!?]+(?=[^\s.!?])[^\n.!?]+)*[.!?]*",
 }
-LAST = (1 << 63) - 1
+BLANK = " \t\n\v\f\r"
 
 
-def units(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = 5) -> DataFrame:
-    """A row for each unit of `least_words` words or more, with sentences also for each line of any: rank (doc_id, null as the largest), doc_id, start and end
-    (code points, end exclusive), h1 and h2 (the digest), first (whether it is the first such unit of its text)."""
+def units(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = 1) -> DataFrame:
+    """A row for each unit of `least_words` words or more: doc_id, start and end (code points, end exclusive; the unit begins
+    with its first word), h1 and h2 (the digest), first (whether it is the first such unit of its text)."""
     out = T.StructType([T.StructField(doc, docs.schema[doc].dataType), *[T.StructField(n, T.LongType()) for n in ("start", "end", "h1", "h2")], T.StructField("first", T.BooleanType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, lines, digest = re.compile(UNITS[unit]).finditer, re.compile(UNITS["line"]).finditer, xxhash.xxh3_128_digest
+        find, digest = re.compile(UNITS[unit]).finditer, xxhash.xxh3_128_digest
         for batch in arrows.slices(batches, text):
             index, starts, ends, hashes, first = [], [], [], [], []
             for row, value in enumerate(arrows.texts(batch.column(text))):
                 seen: set[bytes] = set()
-
-                def add(raw: str, words: list[str], start: int, end: int, row: int = row, seen: set[bytes] = seen) -> None:
-                    h = digest(" ".join(words).encode("utf-8", "replace"))
-                    if raw[0].isspace():
-                        start += len(raw) - len(raw.lstrip())
+                for match in find(value):
+                    raw = match.group()
+                    words = raw.lower().encode("utf-8", "replace").split()  # of bytes: at ASCII white space only
+                    if len(words) < max(least_words, 1):
+                        continue
+                    h = digest(b" ".join(words))
                     index.append(row)
-                    starts.append(start)
-                    ends.append(end)
+                    starts.append(match.end() - len(raw.lstrip(BLANK)) if raw[0] in BLANK else match.start())
+                    ends.append(match.end())
                     hashes.append(h)
                     first.append(h not in seen)
                     seen.add(h)
-
-                for line in lines(value) if unit == "sentence" else [None]:
-                    n = 0
-                    for match in find(value, *line.span()) if line else find(value):
-                        raw = match.group()
-                        words = raw.lower().split()
-                        if len(words) >= least_words:
-                            n += len(words)
-                            add(raw, words, match.start(), match.end())
-                            whole = words
-                    if line:
-                        raw = line.group()
-                        words = raw.lower().split()
-                        if words and not (n == len(words) and whole == words):
-                            add(raw, words, *line.span())
             both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
             ids = batch.column(doc).take(pa.array(index, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(first, pa.bool_())], names=out.names)
@@ -77,23 +59,27 @@ def units(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str =
     return docs.select(docs[doc], docs[text]).mapInArrow(work, out)
 
 
-def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = 5) -> DataFrame:
+def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = 1) -> DataFrame:
     """The spans to remove: doc_id, start, end, kept_doc_id (where the unit stays), one row each.
 
-    A null text is empty. A null doc_id ranks last. Rows that repeat a doc_id are one document for the ranks: both
-    keep its first unit of a kind. Units below `least_words` words, other than whole lines beside sentences, always
-    stay. Spans of a line and of its sentences may overlap. An empty table gives no rows.
+    A null text is empty. Ids may be of any type that has an order; a null doc_id ranks last. Rows that repeat a doc_id
+    are one document for the ranks: all keep its first unit of a kind. Units below `least_words` words always stay, as
+    do those without a word. Texts of any length are walked unit by unit. An empty table gives no rows. Input columns
+    other than the two are ignored.
     """
-    found = scratch.cut(units(docs, doc, text, unit, least_words), "units")
-    rank = F.coalesce(F.col(doc).cast("long"), F.lit(LAST))
-    twice = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1").drop("n")
+    found = scratch.cut(units(docs, doc, text, unit, least_words).withColumnRenamed(doc, "__q_doc"), "units")
+    twice = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("__q_doc").alias("kept")).where("n > 1").drop("n")
     twice = scratch.cut(twice, "repeated")
-    rows = found.join(twice, ["h1", "h2"]).where((rank > F.col("kept")) | ~F.col("first"))
-    return rows.select(doc, "start", "end", F.when(F.col("kept") < LAST, F.col("kept")).alias("kept_doc_id"))
+    later = F.coalesce(F.col("__q_doc") > F.col("kept"), F.col("__q_doc").isNull() & F.col("kept").isNotNull())
+    rows = found.join(twice, ["h1", "h2"]).where(later | ~F.col("first"))
+    return rows.select(F.col("__q_doc").alias(doc), "start", "end", F.col("kept").alias("kept_doc_id"))
 
 
 def strip(docs: DataFrame, spans: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with the spans of `repeats` cut out of their texts; a doc_id's rows all lose its spans."""
+    """`docs` with the spans of `repeats` cut out of their texts; a doc_id's rows all lose its spans.
+
+    Null texts stay null; overlapping spans are cut once; other columns pass through, and an empty table gives an empty one.
+    """
     lists = spans.groupBy(F.col(doc).alias("__q_doc")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__q_spans"))
     both = docs.join(lists, docs[doc].eqNullSafe(F.col("__q_doc")), "left").drop("__q_doc")
     schema = docs.schema
