@@ -31,37 +31,46 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, A-Z lower-cased, and the text it is in. Words are runs of bytes other than space and
+def word_spans(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts that end at `ends` begin and end. Words are runs of bytes other than space and
     U+0009 to U+000D."""
-    body, ends = _LOWER[data[offsets[0] : offsets[-1]]], offsets[1:] - offsets[0]
     n = len(body)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     gap = _GAP[body]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, gap[:-1]
     after[-1], after[:-1] = True, gap[1:]
     cuts = ends[(ends > 0) & (ends < n)]
     before[cuts], after[cuts - 1] = True, True
-    first, last = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    powers, back = _power(n)
-    sums = np.zeros(n + 1, np.uint64)
+    return np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+
+
+def span_hashes(body: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span."""
+    powers, back = _power(len(body))
+    sums = np.zeros(len(body) + 1, np.uint64)
     np.cumsum(_BYTES[body] * powers, out=sums[1:])
-    hashes = mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
-    return hashes, np.searchsorted(ends, first, side="right")
+    return mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text its distinct shingles: (hash, text index), ordered by text and hash, and their number by text.
+def lowered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, A-Z lower-cased, and where each text ends in them."""
+    return _LOWER[data[offsets[0] : offsets[-1]]], offsets[1:] - offsets[0]
 
-    A shingle is WIDTH words in a row; a text of fewer words has the whole sequence as its one shingle, and a text
-    without words has none.
-    """
-    texts = len(offsets) - 1
-    hashes, at = words(data, offsets)
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, A-Z lower-cased, and the text it is in."""
+    body, ends = lowered(data, offsets)
+    if not len(body):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first, last = word_spans(body, ends)
+    return span_hashes(body, first, last), np.searchsorted(ends, first, side="right")
+
+
+def runs(hashes: np.ndarray, at: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each run of WIDTH words, repeats and all, and the text it is in. A text of fewer words has the whole
+    sequence as its one run, and a text without words has none."""
     count = np.bincount(at, minlength=texts)
-    parts, where = [], []
+    parts, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if len(hashes) >= WIDTH:
         whole = len(hashes) - WIDTH + 1
         inside = np.flatnonzero(at[:whole] == at[WIDTH - 1 :])
@@ -79,9 +88,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
                 sums += hashes[begin[short] + k] * _STEPS[k]
             parts.append(mix(sums))
             where.append(short)
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(texts, np.int64)
-    h, d = np.concatenate(parts), np.concatenate(where)
+    return np.concatenate(parts), np.concatenate(where)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its distinct shingles (see `runs`): (hash, text index), ordered by text and hash, and their number by text."""
+    texts = len(offsets) - 1
+    h, d = runs(*words(data, offsets), texts)
+    if not len(h):
+        return h, d, np.zeros(texts, np.int64)
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
     new = np.ones(len(h), bool)
@@ -90,6 +105,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, d, np.bincount(d, minlength=texts)
 
 
+def sketches(h: np.ndarray, d: np.ndarray, texts: int, buckets: int) -> np.ndarray:
+    """One-permutation MinHash: for each text and bucket 16 bits of the smallest hash there, 0 where there is none."""
+    bits = buckets.bit_length() - 1
+    least = np.full(texts * buckets, np.iinfo(np.uint64).max)
+    np.minimum.at(least, d * buckets + (h >> np.uint64(64 - bits)).astype(np.int64), h)
+    return np.where(least == np.iinfo(np.uint64).max, 0, (least & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint16).reshape(texts, buckets)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimates of the Jaccard similarity of rows of sketches; 1 where both are empty."""
+    some = ((a != 0) | (b != 0)).sum(axis=1)
+    return np.where(some == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(some, 1))
+
+
 def sums_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The sums, modulo 2**64, of consecutive runs of the given sizes."""
     total = np.zeros(len(values) + 1, np.uint64)
