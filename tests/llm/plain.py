@@ -47,18 +47,22 @@ def decontaminated(docs, items, threshold=0.8):
     from collections import Counter
 
     def grams(words):
-        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        return [tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 0))]
 
     def split(text):
         return WORD.findall((text or "").lower())
 
     out = {}
     wanted = [(i, split(t)) for i, t in items]
-    wanted = [(i, w, Counter(grams(w))) for i, w in wanted if len(w) >= 5]
     for d, t in docs:
         g = grams(w := split(t))
         have = set(g)
-        for i, iw, want in wanted:
+        for i, iw in wanted:
+            if 0 < len(iw) < 5:
+                if any(w[s : s + len(iw)] == iw for s in range(len(w))):
+                    out[d, i] = 1.0
+                continue
+            want = Counter(grams(iw))
             if sum(x in have for x in want) < 1:
                 continue
             size = len(iw) - 4
@@ -67,7 +71,7 @@ def decontaminated(docs, items, threshold=0.8):
                 win = Counter(g[s : s + size])
                 best = max(best, sum((win & want).values()) / sum((win | want).values()))
             if best >= threshold:
-                out[d, i] = round(best, 9)
+                out[d, i] = max(out.get((d, i), 0), round(best, 9))
     return out
 
 
