@@ -3,13 +3,15 @@
 Documents of equal shingle sets are one class. All shingles have one global order: estimated frequency (a counting
 sketch of fixed size), then hash. A class posts its prefix in that order, of which a partner at the threshold must
 share `needed(n)` shingles, a number that grows with the set, so that few pairs are candidates by chance. Postings give candidate pairs under the size and position bounds. The order is cut into fragments, a
-candidate's overlap is counted separately in each, and the partial counts are summed per pair. Before that, the
-parities of 256 buckets of each set give a least number of shingles in which two sets differ.
+candidate's overlap is counted separately in each, and the partial counts are summed per pair: the last fragment has the
+frequent shingles, which are the order's end, and the others are ranges of the rest. Before that, the parities of 256
+buckets of each set give a least number of shingles in which two sets differ.
 
 Frequent shingles come last in the order. So sets that share no other shingle can only link if a fifth of either at
 most is not frequent, and only such sets post frequent ones. These don't emit all pairs: every class with such a shingle is compared with one hub of it first; what
-is then in one component needs no more comparing, and the rest goes on with twice as many hubs each round until no
-shingle spans two components or all pairs of different components have been compared. So no component is split.
+is then in one component needs no more comparing, and the rest goes on with HUBS hubs and GROWTH times as many each round
+until no shingle spans two components or all members of a list have been hubs. So no component is split. Hubs are met by
+broadcast, or by salted keys where they are too many, so a shingle of any number of sets is dealt to many tasks.
 
 Links are counted afterwards, as all of them lie within components: the sets of a component are dealt into blocks, and
 each two blocks are compared by products of 0-1 matrices of the shingles they share. That takes time with the square of
@@ -37,6 +39,10 @@ FRAGMENTS = 4
 SKETCH_BITS = 22
 SMALL = 24  # members of a posting list of which all pairs are compared at once
 HUBS = 16  # of a frequent shingle in the second round
+GROWTH = 64  # of the hubs in each round after
+SALTS = 64  # tasks that a frequent shingle is dealt to
+HELD = 200_000  # postings that a task holds at once
+DEALT = 2_000_000  # shingles for one partition of postings
 BROADCAST_ROWS = 1_000_000
 BLOCK = 256  # classes of a component that are compared with as many others in one task
 COLUMNS = 4096  # shingles of a product
@@ -115,16 +121,19 @@ def _postings(docs: DataFrame, doc: str, text: str, seed: int, classes, percent:
     return docs.select(docs[doc], docs[text]).mapInArrow(work, "g long, s long, n int, pos int, f boolean, nf int")
 
 
-def _sets(docs: DataFrame, doc: str, text: str, seed: int) -> DataFrame:
-    """s, part, seg: the sorted shingles of each set, cut at fixed places of the order into fragments."""
+def _sets(docs: DataFrame, doc: str, text: str, seed: int, classes) -> DataFrame:
+    """s, part, seg: the shingles of each set, cut at fixed places of the global order into fragments, each sorted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = classes.value
         for batch in arrows.slices(batches, text):
             h, d, n = shingles(*arrows.raw_bytes(batch.column(text)))
             s = set_id(*set_keys(h, n), seed)
-            part = (h >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32
-            key = d * FRAGMENTS + part
-            new = np.flatnonzero(np.diff(key, prepend=-1))
+            part = (h >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32
+            part[known[h >> np.uint64(64 - SKETCH_BITS)] > 0] = FRAGMENTS - 1
+            order = np.argsort(d * FRAGMENTS + part, kind="stable")
+            h, d, part = h[order], d[order], part[order]
+            new = np.flatnonzero(np.diff(d * FRAGMENTS + part, prepend=-1))
             ends = np.append(new, len(h)).astype(np.int32)
             segs = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(s[d[new]]), pa.array(part[new].astype(np.int32)), segs], names=["s", "part", "seg"])
@@ -147,36 +156,29 @@ def _alike(n: Column, bits: Column, n2: Column, bits2: Column, percent: int) ->
 
 
 def _short_lists(percent: int):
-    """Of all postings in a partition: the pairs of lists of up to SMALL members (a < b, n: shared here), and as rows with a
-    null b the members of longer lists and of frequent shingles, which are not dealt by shingle."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "g", "n", "pos", "nf", "f"]
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        rows = pa.Table.from_batches(found)
-        frequent = rows.column("f").to_numpy()
-        for part in rows.filter(pa.array(frequent)).to_batches(max_chunksize=50_000):
-            yield pa.RecordBatch.from_arrays([part.column("s"), pa.nulls(part.num_rows, pa.int64()), *(part.column(c) for c in ("g", "n", "pos", "nf", "f"))], names=names)
-        rows = rows.filter(pa.array(~frequent))
-        if not rows.num_rows:
-            return
-        g, s, n, pos = (rows.column(c).to_numpy() for c in ("g", "s", "n", "pos"))
-        order = np.lexsort((s, g))
-        order = order[np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (s[order][1:] != s[order][:-1])])]
-        g = g[order]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        size = np.repeat(np.diff(np.append(first, len(g))), np.diff(np.append(first, len(g))))
-        order, size = order[size > 1], size[size > 1]
-        g, s, n, pos, nf = (rows.column(c).to_numpy()[order] for c in ("g", "s", "n", "pos", "nf"))
+    """Of all postings of a partition, sorted by g and s: the pairs of lists of up to SMALL members (a < b, n: shared here),
+    and as rows with a null b the members of longer lists and of frequent shingles, which are not dealt by shingle. A
+    task holds about HELD postings at once; a list that is longer is passed on as it comes."""
+    names, fields = ["a", "b", "g", "n", "pos", "nf", "f"], ("g", "s", "n", "pos", "nf")
+
+    def passed(c: dict[str, np.ndarray], frequent: bool) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(c["g"]), 50_000):
+            g, s, n, pos, nf = (c[k][at : at + 50_000] for k in fields)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.nulls(len(s), pa.int64()), pa.array(g), *(pa.array(x.astype(np.int32)) for x in (n, pos, nf)), pa.array(np.full(len(s), frequent))], names=names)
+
+    def once(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        new = np.ones(len(c["g"]), bool)
+        new[1:] = (c["g"][1:] != c["g"][:-1]) | (c["s"][1:] != c["s"][:-1])
+        return {k: v[new] for k, v in c.items()}
+
+    def lists(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], c["g"][1:] != c["g"][:-1]]))
+        size = np.diff(np.append(first, len(c["g"])))
+        size = np.repeat(size, size)
+        yield from passed({k: v[size > SMALL] for k, v in c.items()}, False)
+        keep = (size > 1) & (size <= SMALL)
+        g, s, n, pos, nf = (c[k][keep] for k in fields)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        big = size > SMALL
-        for at in range(0, int(big.sum()), 50_000):
-            k = np.flatnonzero(big)[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s[k]), pa.nulls(len(k), pa.int64()), pa.array(g[k]), *(pa.array(x[k].astype(np.int32)) for x in (n, pos, nf)), pa.array(np.zeros(len(k), bool))], names=names)
-        keep = ~big
-        g, s, n, pos, nf = g[keep], s[keep], n[keep], pos[keep], nf[keep]
         for step in range(1, SMALL):
             if step >= len(g):
                 break
@@ -192,9 +194,47 @@ def _short_lists(percent: int):
                 times = np.diff(np.append(new, len(a)))
                 yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.nulls(len(new), pa.int64()), pa.array(times.astype(np.int32)), pa.nulls(len(new), pa.int32()), pa.array(both[new].astype(np.int32)), pa.nulls(len(new), pa.bool_())], names=names)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        rows, long = 0, None
+        for batch in batches:
+            f = batch.column("f").to_numpy(zero_copy_only=False)
+            c = {k: batch.column(k).to_numpy() for k in fields}
+            yield from passed({k: v[f] for k, v in c.items()}, True)
+            c = {k: v[~f] for k, v in c.items()}
+            if long is not None:  # the list that was passed on so far may go on
+                yield from passed({k: v[c["g"] == long] for k, v in c.items()}, False)
+                c = {k: v[c["g"] != long] for k, v in c.items()}
+            held.append(c)
+            rows += len(c["g"])
+            if rows < HELD:
+                continue
+            c = once({k: np.concatenate([x[k] for x in held]) for k in fields})
+            cut = int(np.searchsorted(c["g"], c["g"][-1]))
+            head, tail = ({k: v[part] for k, v in c.items()} for part in (slice(0, cut), slice(cut, None)))
+            if cut:
+                yield from lists(head)
+            long = None
+            if len(tail["g"]) > SMALL:
+                long = tail["g"][0]
+                yield from passed(tail, False)
+                tail = {k: v[:0] for k, v in tail.items()}
+            held, rows = [tail], len(tail["g"])
+        if rows:
+            yield from lists(once({k: np.concatenate([x[k] for x in held]) for k in fields}))
+
     return work
 
 
+def _met(heavy: DataFrame, hubs: DataFrame, by: list[str]) -> DataFrame:
+    """`heavy` and `hubs` joined on `by`, of which g may be of any number of rows of `heavy`."""
+    hubs = scratch.cut(hubs, "hubs")
+    if scratch.fits(hubs, BROADCAST_ROWS):
+        return heavy.join(F.broadcast(hubs), by)
+    dealt = heavy.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int"))
+    return dealt.join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "salt"]).drop("salt")
+
+
 def _promising(pairs: DataFrame, shared: DataFrame, often: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), with their sizes, that can be at the threshold by their parities, and that can share as many prefix shingles as they need: those counted in short
     lists, and at most as many of frequent ones and of long lists as either has."""
@@ -206,7 +246,7 @@ def _promising(pairs: DataFrame, shared: DataFrame, often: DataFrame, classes: D
     return out.where(most >= needed(F.least("na", "nb"))).select("a", "b", "na", "nb", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
-def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int) -> DataFrame | None:
+def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int, frequent) -> DataFrame | None:
     """The labels after the links among `pairs` (a, b, na, nb, shared); None if there is no link.
 
     The sets are made again, from the texts of the documents that stand for them. Pairs go in three waves: for each
@@ -218,7 +258,7 @@ def _verify(pairs: DataFrame, labels: DataFrame | None, classes: DataFrame, docs
     reps = F.broadcast(reps) if scratch.fits(reps, BROADCAST_ROWS) else reps
     source = docs.select(docs[doc].alias(doc), docs[text].alias(text))
     source = source.join(reps, source[doc].eqNullSafe(reps["__q_rep"]), "left_semi")
-    sets = scratch.cut(_sets(source, doc, text, seed), "sets")
+    sets = scratch.cut(_sets(source, doc, text, seed, frequent), "sets")
     any_link, left = False, pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
     for wave in range(3):
         if labels is not None:
@@ -269,7 +309,7 @@ def _overlaps(g: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _degrees(rooted: DataFrame, labels: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int) -> DataFrame:
+def _degrees(rooted: DataFrame, labels: DataFrame, docs: DataFrame, doc: str, text: str, seed: int, percent: int, frequent) -> DataFrame:
     """s, n_links: for each class the number of other classes at the threshold. `rooted` has s, n, rep, root."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = lambda df: F.broadcast(df) if scratch.fits(df, BROADCAST_ROWS) else df
@@ -280,7 +320,7 @@ def _degrees(rooted: DataFrame, labels: DataFrame, docs: DataFrame, doc: str, te
     reps = small(scratch.cut(members.select(F.col("rep").alias("__q_rep")).distinct(), "wanted"))
     source = docs.select(docs[doc].alias(doc), docs[text].alias(text))
     source = source.join(reps, source[doc].eqNullSafe(reps["__q_rep"]), "left_semi")
-    rows = _sets(source, doc, text, seed).join(small(members.drop("rep")), "s")
+    rows = _sets(source, doc, text, seed, frequent).join(small(members.drop("rep")), "s")
     rows = rows.select("s", "n", "root", "block", "blocks", "seg", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     alone = F.col("blocks") == 1  # small components share groups
     rows = rows.select("s", "n", "root", "block", "seg", F.when(alone, F.pmod(F.xxhash64("root"), F.lit(8 * width))).otherwise(F.col("root")).alias("x"), F.when(alone, -1).otherwise(F.least("block", "other")).alias("i"), F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("j"))
@@ -328,27 +368,28 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
         if classes.groupBy("s").count().where("count > 1").isEmpty():
             break
     postings = _postings(docs, doc, text, seed, frequent, percent)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / DEALT))
     dealt = postings.repartition(width, F.when(F.col("f"), F.xxhash64("g", "s")).otherwise(F.col("g")))
-    lists = scratch.cut(dealt.mapInArrow(_short_lists(percent), "a long, b long, g long, n int, pos int, nf int, f boolean"), "lists")
+    lists = scratch.cut(dealt.sortWithinPartitions("g", "s").mapInArrow(_short_lists(percent), "a long, b long, g long, n int, pos int, nf int, f boolean"), "lists")
     members = scratch.cut(lists.where("b IS NULL").select("g", F.col("a").alias("s"), "n", "pos", "nf", "f").distinct(), "members")
     often = scratch.cut(members.groupBy("s").agg(F.max("nf").alias("nf"), F.count_if(~F.col("f")).alias("long")), "often")
     heavy = scratch.cut(members.select("g", "s", "n", "pos").join(classes.select(F.col("s").alias("x"), "bits"), F.col("s") == F.col("x")).drop("x"), "heavy")
     # edits bring rare shingles, which come first: a text that others were copied from has the smallest position
     hubs = heavy.groupBy("g").agg(F.min(F.struct("pos", "s", "n", "bits")).alias("at"), F.count("*").alias("size")).where("size > 1")
     hubs = hubs.select("g", F.col("at.s").alias("hub"), F.col("at.n").alias("n2"), F.col("at.pos").alias("pos2"), F.col("at.bits").alias("bits2"))
-    stars = heavy.join(hubs, "g").where((F.col("s") != F.col("hub")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)).select(F.col("hub").alias("a"), F.col("s").alias("b"))
+    stars = _met(heavy, hubs, ["g"]).where((F.col("s") != F.col("hub")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)).select(F.col("hub").alias("a"), F.col("s").alias("b"))
     shared = lists.where("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("shared"), F.max("nf").alias("both_nf"))
     shared = scratch.cut(shared, "shared")
     pairs = shared.select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     pairs = scratch.cut(_promising(pairs, shared, often, classes, percent), "pairs")
-    got = _verify(pairs, None, classes, docs, doc, text, seed, percent)
+    got = _verify(pairs, None, classes, docs, doc, text, seed, percent, frequent)
     labels = got or spark.createDataFrame([], "id long, root long")
     done, more, last = pairs.select("a", "b"), HUBS, False
     while not last:
         known = heavy.join(labels, heavy["s"] == labels["id"], "left").select("g", "s", "n", "pos", "bits", F.coalesce("root", "s").alias("root"))
         open_lists = known.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select(F.col("g").alias("h"), "size")
-        heavy = scratch.cut(known.join(open_lists, F.col("g") == F.col("h")).select("g", "s", "n", "pos", "bits", "root", "size"), "open")
+        heavy = scratch.cut(known.join(scratch.small(scratch.cut(open_lists, "open"), BROADCAST_ROWS), F.col("g") == F.col("h")).select("g", "s", "n", "pos", "bits", "root", "size"), "open")
         most = heavy.agg(F.max("size")).first()[0]
         if most is None:
             break
@@ -361,19 +402,19 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
         chosen = chosen.select("g", F.col("s").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("bits").alias("bits2"), F.col("root").alias("root2"))
         chosen = chosen.where(least_n <= most_n).select("*", F.explode_outer(F.sequence(band(least_n), band(most_n))).alias("band"))
         heavy = heavy.withColumn("band", band(F.col("n")))
-        new = heavy.join(chosen, ["g", "band"]).where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
+        new = _met(heavy, chosen, ["g", "band"]).where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
         new = new.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         new = scratch.cut(_promising(new, shared, often, classes, percent), "pairs")
-        heavy, more = heavy.select("g", "s", "n", "pos", "bits"), more * 64
+        heavy, more = heavy.select("g", "s", "n", "pos", "bits"), more * GROWTH
         if new.isEmpty():
             continue
         done = done.unionByName(new.select("a", "b"))
-        got = _verify(new, labels, classes, docs, doc, text, seed, percent)
+        got = _verify(new, labels, classes, docs, doc, text, seed, percent, frequent)
         if got:
             labels = got
     rooted = classes.join(labels, classes["s"] == labels["id"], "left").select("s", "n", "rep", F.coalesce("root", "s").alias("root"))
     rooted = scratch.cut(rooted, "rooted")
-    degree = scratch.cut(_degrees(rooted, labels, docs, doc, text, seed, percent), "degrees") if count else spark.createDataFrame([], "s long, n_links long")
+    degree = scratch.cut(_degrees(rooted, labels, docs, doc, text, seed, percent, frequent), "degrees") if count else spark.createDataFrame([], "s long, n_links long")
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named_classes = rooted.join(smallest, "root").join(degree, "s", "left").select("s", F.col("rep").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     linked = named.join(named_classes, "s").select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), "class_id", "n_links", "component_id")
