@@ -29,7 +29,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *[number(k) for k in range(4)], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(pii.all_spans()).alias("spans"))
+    return found.select("doc_id", *[number(k) for k in range(4)], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(pii.all_spans()).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality.judge(docs).select("doc_id", *quality.RULES, "kept")
+    return quality.judge(docs, carry=["doc_id"])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +83,11 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op4_warc": oracles.OP4, "op8_quality_rules": oracles.OP8}
+ORACLE = {
+    "op4_warc": oracles.OP4,
+    "op6_decontamination": oracles.OP6,
+    "op7_substring_dedup": oracles.OP7,
+    "op8_quality_rules": oracles.OP8,
+    "op9_ngram_jaccard": oracles.OP9,
+    "op10_line_dedup": oracles.OP10,
+}
