@@ -94,3 +94,66 @@ def base_spans(text):
         (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
     ]
     return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m.group()))
+
+
+def entity(kind, value):
+    if kind == 0:
+        return kind, value.lower()
+    if kind == 1:
+        return kind, ".".join(str(int(x)) for x in value.split("."))
+    return kind, re.sub("[^0-9]", "", value)
+
+
+def told(rows, prior=20.0, remove=0.8, generalise=0.5, unit=1 << 20):
+    """For each row the spans (start, end, action) of the terms that disclose a class, and the disclosures of all terms."""
+    import math
+
+    import regex
+
+    rows = [(d, t or "") for d, t in rows]
+    base = [base_spans(t) for _, t in rows]
+    held = [{entity(k, t[s:e]) for s, k, e in found} for (_, t), found in zip(rows, base, strict=True)]
+    df = {}
+    for names in held:
+        for e in names:
+            df[e] = df.get(e, 0) + 1
+    weights = [[max([unit // df[e] for e in names if k in (e[0], None)] or [0]) for k in (0, 1, 2, 3)] for names in held]
+    weights = [[*w, max(w)] for w in weights]
+    shares = [sum(w[k] for w in weights) / unit / len(rows) for k in range(5)]
+    word = regex.compile(r"\p{L}+")
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    counts = {}
+    for (_, t), w in zip(rows, weights, strict=True):
+        for term in {x.lower() for x in word.findall(re.sub(email, " ", t)) if len(x) >= 4}:
+            n = counts.setdefault(term, [0] * 6)
+            n[5] += 1
+            for k in range(5):
+                n[k] += w[k]
+    disclosure = {}
+    for term, n in counts.items():
+        best = 0.0
+        for k, p in enumerate(shares):
+            if 0 < p < 1:
+                given = (max(n[k] / unit - 1, 0) + prior * p) / (n[5] - 1 + prior)
+                best = max(best, math.log(given / p) / -math.log(p))
+        disclosure[term] = best
+    spans = []
+    for (_, t), found in zip(rows, base, strict=True):
+        terms = [(m.start(), m.end(), disclosure.get(m.group().lower(), 0)) for m in word.finditer(t) if len(m.group()) >= 4]
+        spans.append([(s, e, "remove" if x >= remove else "generalise") for s, e, x in terms if x >= generalise and not any(a < e and b > s for a, _, b in found)])
+    return spans, disclosure
+
+
+def by_sql(sql, **tables):
+    """The rows of DuckDB SQL over tables given as (names, rows), by column name."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    for name, (columns, rows) in tables.items():
+        con.register(f"raw_{name}", pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype="Int64" if c.endswith("_id") else object) for i, c in enumerate(columns)}))
+        kinds = ", ".join(f"CAST({c} AS {'BIGINT' if c.endswith('_id') else 'VARCHAR'}) AS {c}" for c in columns)
+        con.execute(f"CREATE TABLE {name} AS SELECT {kinds} FROM raw_{name}")
+    found = con.execute(sql)
+    names = [x[0] for x in found.description]
+    return sorted((tuple(sorted(zip(names, row, strict=True))) for row in found.fetchall()), key=repr)

@@ -7,10 +7,11 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, jaccard, pii, quality, substrings, templates, token_counts
+from quern.llm import bpe, decontamination, jaccard, oracles, pii, quality, substrings, templates, token_counts
 from tests.llm import plain
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -41,10 +42,10 @@ def test_bpe(spark):
     rows = [*ODD, (7, "<|endoftext|> isn't  special\n\n\t x" + " word" * 40_000), (8, "x" * 3000)]
     df = spark.createDataFrame([(*r, "old", i) for i, r in enumerate(rows)], SCHEMA + ", ids_le string, extra int")
     done = bpe.round_trip(df, RANKS, PATTERN)
-    assert done.columns == ["doc_id", "text", "extra", "n_tokens", "ids_le", "decoded"]
+    assert done.columns == ["doc_id", "text", "extra", "n_tokens", "ids_le", "decoded", "same"]
     for r in done.collect():
         want = reference.encode_ordinary(r.text or "")
-        assert r.n_tokens == len(want) and list(memoryview(r.ids_le).cast("I")) == want and r.decoded.decode() == (r.text or "")
+        assert r.n_tokens == len(want) and list(memoryview(r.ids_le).cast("I")) == want and r.decoded.decode() == (r.text or "") and r.same
     again = bpe.decode(done.select("doc_id", "ids_le"), RANKS, PATTERN)
     assert sorted(r.decoded for r in again.collect()) == sorted((t or "").encode() for _, t in rows)
     assert bpe.round_trip(df.limit(0), RANKS, PATTERN).count() == 0
@@ -55,6 +56,27 @@ def test_pieces_join_to_the_text():
     assert "".join(bpe.pieces(text, 7)) == text and list(bpe.pieces("x" * 30, 7)) == ["x" * 30]
 
 
+def test_long_white_space(monkeypatch):
+    tokenizer, whole = bpe.encoding(RANKS, PATTERN), bpe.encoding(RANKS, r"\s+")
+    for blank in (" ", "\n", "\t \r\n", "\u3000", "\x85\xa0"):
+        for text in (blank * (5_000_000 // len(blank)), "a" + blank * (5_000_000 // len(blank)) + "b"):
+            ids = bpe.encode(text, tokenizer, whole)
+            assert tokenizer.decode_bytes(ids.tolist()) == text.encode()
+    # short runs, taken as if they were long, equal the library's own ids
+    monkeypatch.setattr(bpe, "RUN", 3)
+    monkeypatch.setattr(bpe, "_LONG", regex.compile(r"\s{3,}+"))
+    rng = random.Random(1)
+    some = [" ", "\n", "\t", "\r", "\x0b", "\x85", "\xa0", "\u2003", "\u3000", "\x1c", "\u200b", "a", "b", "1", "!", "'s"]
+    for _ in range(4000):
+        text = "".join(rng.choice(some) * rng.choice([1, 1, 2, 6]) for _ in range(rng.randint(1, 8)))
+        assert list(bpe.encode(text, tokenizer, whole)) == tokenizer.encode_ordinary(text)
+
+
+def test_rows_that_are_no_text(spark):
+    df = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62' AS string) AS text UNION ALL SELECT 2L, 'fine'")
+    assert {r.doc_id: (r.same, bytes(r.decoded)) for r in bpe.round_trip(df, RANKS, PATTERN).collect()} == {1: (False, "a\ufffdb".encode()), 2: (True, b"fine")}
+
+
 def test_token_counts(spark):
     import regex
 
@@ -79,16 +101,30 @@ def test_token_counts(spark):
             assert (r.n_pretokens, r.n_tokens) == (len(tokens), sum(map(viterbi, tokens)))
 
 
-def test_quality_rules(spark):
+def quality_rows():
     good = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, "a", good), (2, "a", None), (3, None, good), (4, "a", "x y z " * 30), (5, "a", good + "\nsame line\nsame line\n \nsame line #$%"), *[(10 + i, "bad", "short") for i in range(30)], (50, "bad", good)]
+    rows = [(1, "a", good), (2, "a", None), (3, None, good), (4, "a", "x y z " * 30), (5, "a", good + "\nsame line\nsame line\n \nsame line #$%"), (6, "a", ""), (7, "b", " \n\t"), (8, "b", "w " * 60_000)]
+    rows += [(100 * h + i, f"h{h}", f"{good} {h} {i}") for h in range(1, 14) for i in range(5)]
+    rows += [(2000 + i, "short", "short" if i < 30 else good) for i in range(33)]
+    rows += [(3000 + i, "signs", good + " $$$$ &&&& ####" * (9 if i < 30 else 0)) for i in range(33)]
+    return rows + [(4000, "tiny", "short"), (1, "a", good), (5000, None, "short")]
+
+
+def test_quality_rules(spark):
+    rows = quality_rows()
     df = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, source string, text string, kept boolean")
-    got = {r.doc_id: r for r in quality.judge(df).collect()}
-    assert got[1].kept and got[3].kept and got[5].kept and not got[2].kept and not got[4].kept
-    assert (got[5].n_dup_lines, got[5].n_symbols, got[2].n_words, got[4].n_repeat_words) == (1, 3, 0, 90)
-    assert not got[50].kept and not got[50].base_failed  # its host is rejected
-    assert quality.judge(df.limit(0)).count() == 0
-    texts = [t for _, _, t in rows if t]
+    judged = quality.judge(df)
+    got = {r.doc_id: r for r in judged.collect()}
+    assert got[1].kept and got[3].kept and got[5].kept and not got[2].kept and not got[4].kept and not got[6].kept
+    assert (got[5].n_dup_lines, got[5].n_symbols, got[2].n_words, got[4].n_repeat_words, got[8].n_repeat_words) == (1, 3, 0, 90, 60_000)
+    for i in (2032, 3032):  # their hosts are rejected
+        assert not got[i].kept and not got[i].base_failed
+    hosts = {r.host: r.rejected for r in quality.host_verdicts(quality.features(df.drop("kept"))).collect()}
+    assert {h for h, bad in hosts.items() if bad} == {"short", "signs"} and None not in hosts
+    digest = judged.select("doc_id", *quality.RULES, "kept")
+    assert sql_rows(digest) == plain.by_sql(oracles.OP8, documents=(("doc_id", "source", "text"), rows))
+    assert quality.judge(df.limit(0)).count() == 0 and quality.judge(df, carry=["text"]).columns == ["text", *quality.RULES, "kept"]
+    texts = [t for _, _, t in rows[:60] if t and len(t) < 5000]
     for t in texts:
         w = plain.WORD.findall(t)
         grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -124,8 +160,8 @@ def test_jaccard_odd_rows(spark):
 
 def test_decontamination(spark, corpus):
     rng = random.Random(9)
-    items = [(i, sentences(rng, rng.randint(3, 40))) for i in range(12)] + [(50, None), (51, "the same gram the same gram the same gram the same gram")]
-    rows = list(corpus)
+    items = [(i, sentences(rng, rng.randint(3, 40))) for i in range(12)] + [(50, None), (51, "the same gram the same gram the same gram the same gram"), (52, "two words"), (53, " one\tmore of those "), (54, "absent")]
+    rows = list(corpus) + [(250, "so one more\nOF those"), (251, "two"), (252, "gram " + "the same gram " * 9)]
     for i, (_, t) in enumerate(items):
         if t:
             words = t.split()
@@ -141,54 +177,82 @@ def test_decontamination(spark, corpus):
     assert decontamination.find(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_repeated_units(spark):
-    unit = "This sentence has more than five words."
-    rows = [(3, f"Opening words. {unit} And so on."), (1, f"{unit}\nthis  SENTENCE has more than five words."), (2, f"x {unit}"), (None, unit), (4, None), (5, "Too short. Too short."), (7, f"intro {unit}"), (6, unit), (6, unit)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = Counter((r.doc_id, r.start, r.end, r.kept_doc_id) for r in substrings.repeats(df).collect())
-    n = len(unit)
-    assert got == Counter({(3, 15, 15 + n, 1): 1, (1, n + 1, 2 * n + 2, 1): 1, (None, 0, n, 1): 1, (6, 0, n, 1): 2})
-    clean = {r.doc_id: r.text for r in substrings.strip(df.where("doc_id = 3"), substrings.repeats(df)).collect()}
-    assert clean == {3: "Opening words.  And so on."}
-    assert substrings.repeats(df.limit(0)).count() == 0 and substrings.repeats(df, unit="paragraph").count() >= 1
+def test_decontamination_by_long_items(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(90_000)}" for _ in range(200_000))
+    flat = "same five words go on " * 30_000
+    docs = [(1, "before " + long), (2, long[:-40] + " after all"), (3, long[: len(long) // 2]), (4, flat), (5, None)]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(7, long), (8, flat)], "item_id long, text string")).collect()}
+    assert set(got) == {(1, 7), (2, 7), (4, 8)} and got[1, 7] == got[4, 8] == 1.0
 
 
-def test_repeated_lines_go_whole(spark):
-    long = "This sentence has more than five words."
-    rows = [(1, f"Own words of one.\nAll rights reserved.\nYes. No. Maybe so.\nSure. {long} Why not?\n\n \n"), (2, f"all  rights reserved.\nOther words.\n  Yes. No. Maybe so.\nSure. {long} Why not?\n{long}"), (3, "All rights reserved. Maybe so.\nA\nA")]
-    df = spark.createDataFrame(rows, SCHEMA)
+def sql_rows(df):
+    return sorted((tuple(sorted(r.asDict().items())) for r in df.collect()), key=repr)
+
+
+def test_repeated_units(spark):
+    rows = [(3, "Opening words.\n  Same  LINE here\tyes \n\nA"), (1, "same line here yes\nother\nSame line HERE yes"), (2, "x same line here yes\nÉtÉ"), (4, None), (5, ""), (6, " \n\n\t"), (7, "été\nA\n" + "w " * 50_000), (8, "w " * 50_000)]
+    df = spark.createDataFrame([(*r, "kept", 1) for r in rows], SCHEMA + ", kept string, h1 int")
     found = substrings.repeats(df)
-    texts = dict(rows)
-    got = Counter((r.doc_id, texts[r.doc_id][r.start : r.end], r.kept_doc_id) for r in found.collect())
-    assert got == Counter({(2, "all  rights reserved.", 1): 1, (2, "Yes. No. Maybe so.", 1): 1, (2, f"Sure. {long} Why not?", 1): 1, (2, long, 1): 2, (3, "A", 3): 1})
+    assert sql_rows(found) == plain.by_sql(oracles.OP7, documents=(("doc_id", "text"), rows)) and found.count() == 5
     clean = {r.doc_id: r.text for r in substrings.strip(df, found).collect()}
-    assert clean == {1: texts[1], 2: "\nOther words.\n  \n\n", 3: "All rights reserved. Maybe so.\nA\n"}
+    texts = dict(rows)
+    assert clean[3] == "Opening words.\n  \n\nA" and clean[1] == "same line here yes\nother\n" and clean[8] == "" and clean[4] is None
+    assert all(clean[k] == texts[k] for k in (2, 5, 6))
+    # rows of one doc_id are one document; a null id ranks last; ids may be strings
+    again = spark.createDataFrame([("b", "unit one"), ("b", "unit one"), (None, "unit one"), ("a", "else"), (None, "lone"), (None, "lone")], "doc_id string, text string")
+    assert Counter((r.doc_id, r.kept_doc_id) for r in substrings.repeats(again).collect()) == Counter({(None, "b"): 1})
+    assert substrings.repeats(df.limit(0)).count() == 0
+    two = spark.createDataFrame([(1, "one\ntwo\n\nthree"), (2, "three\n\nONE\n two")], SCHEMA)
+    assert sorted((r.doc_id, r.start, r.end) for r in substrings.repeats(two, unit="paragraph").collect()) == [(2, 0, 5), (2, 7, 15)]
+    assert substrings.repeats(two, unit="sentence", least_words=2).count() == 0
+
+
+def template_rows():
+    rng = random.Random(3)
+    rows = [(i, f"{sentences(rng, 40)}\nPage {i} of {i + 9} was viewed {i * 7} times today\n{sentences(rng, 30)}\nAll rights reserved by the owner\nMenu\n") for i in range(8)]
+    rows += [(20, None), (21, ""), (22, "Page 1 of 2 was viewed 3 times today"), (23, "a b"), (24, "2020\n\n77 88\nMenu"), (25, "2021\n\n79 80")]
+    rows += [(30 + i, f"user login event {x} seen by {y}") for i, (x, y) in enumerate([("ann", "bob"), ("cid", "dan"), ("eve", "fay")])]
+    rows[-1] = (32, rows[-1][1] + "\nuser login event eve seen by gus\nuser login event eve seen by hal")
+    long = [sentences(rng, 26) for _ in range(6)]
+    whole = "\n".join([*long[:4], "All rights reserved by the owner"])
+    rows += [(40 + i, whole) for i in range(3)]
+    for i in range(4):
+        words = whole.split(" ")
+        words[7 * i + 3] = f"edited{'xyz'[i % 3]}"
+        rows.append((50 + i, " ".join(words)))
+    return rows + [(60, long[0] + "\n" + sentences(rng, 60)), (61, long[5]), (62, f"{sentences(rng, 50)}\n{long[4]}"), (63, f"{sentences(rng, 50)}\n{long[4]}")]
 
 
 def test_line_templates(spark):
-    rng = random.Random(3)
-    rows = [(i, f"{sentences(rng, 40)}\nPage {i} of {i + 9} was viewed {i * 7} times today\n{sentences(rng, 30)}\nAll rights reserved by the owner") for i in range(8)]
-    rows += [(20, None), (21, ""), (22, "Page 1 of 2 was viewed 3 times today"), (23, "a b"), (23, "a b")]
-    got = {r.doc_id: r for r in templates.drop_lines(spark.createDataFrame(rows, SCHEMA), count=True).collect()}
+    rows = template_rows()
+    columns = ("doc_id", "text")
+    done = templates.drop_lines(spark.createDataFrame([(*r, 5, "x") for r in rows], SCHEMA + ", n_lines int, line string"), count=True)
+    assert done.columns == ["doc_id", "text", "line", "n_lines", "n_dropped"]
+    digest = done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    assert sql_rows(digest) == plain.by_sql(oracles.OP10, documents=(columns, rows))
+    got = {r.doc_id: r for r in done.collect()}
+    texts = dict(rows)
     for i in range(8):
-        assert (got[i].n_lines, got[i].n_dropped) == (4, 2) and got[i].text == "\n".join(dict(rows)[i].split("\n")[::2])
-    assert got[20].text is None and got[22].text.startswith("Page") and got[22].n_dropped == 0 and (got[20].n_lines, got[21].n_lines) == (0, 1)
+        assert (got[i].n_lines, got[i].n_dropped) == (6, 3) and got[i].text == "\n".join([*texts[i].split("\n")[:3:2], ""])
+    assert [got[i].text for i in (30, 31, 32)] == [""] * 3 and got[32].n_dropped == 3  # one document's lines count once
+    assert got[22].text == "" and got[23].text == "a b" and got[24].text == "2020\n\n77 88" and got[20].text is None
+    # copies keep what only they have, and lose what others have
+    assert got[40].text == got[41].text == "\n".join(texts[40].split("\n")[1:4]) and got[52].n_dropped == 2 - (got[52].text.count("edited") and "edited" in texts[52].split("\n")[0])
+    assert got[61].text == texts[61] and got[62].n_dropped == got[63].n_dropped == 1
+
+
+def test_line_templates_odd_rows(spark):
+    rows = [(1, "the same line is here"), (1, "the same line is here"), (None, "the same line is here"), (None, "own words\nthe common line is here"), (2, "and the rest of it\nthe common line is here"), (None, None)]
+    done = [(r.doc_id, r.text) for r in templates.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()]
+    # equal texts are copies, whatever their ids
+    assert Counter(done) == Counter({(1, rows[0][1]): 2, (None, rows[0][1]): 1, (None, "own words"): 1, (2, "and the rest of it"): 1, (None, None): 1})
+    long = "\n".join(f"line {'x' * (i % 50)} number{i} of it" for i in range(40_000))
+    done = {r.doc_id: r.n_dropped for r in templates.drop_lines(spark.createDataFrame([(1, long), (2, "line x of it\nline xxx number7 of it")], SCHEMA), count=True).collect()}
+    assert done == {1: 40_000 // 50, 2: 1} or done[2] >= 1
     assert templates.drop_lines(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_line_templates_of_most_of_a_document(spark):
-    rng = random.Random(8)
-    lines = [sentences(rng, 26) for _ in range(6)]
-    rows = [(i, "\n".join([*lines[:3], sentences(rng, 28)])) for i in range(2)]
-    copy = "\n".join([*lines[3:], sentences(rng, 28)])
-    words = copy.split(" ")
-    words[60] = "edited"
-    rows += [(2, copy), (3, " ".join(words)), (4, lines[3])]
-    got = {r.doc_id: r for r in templates.drop_lines(spark.createDataFrame([*rows, rows[0]], SCHEMA), count=True).collect()}
-    for i in range(2):
-        assert got[i].n_dropped == 3 and got[i].text == rows[i][1].split("\n")[3]
-    for i in range(2, 5):
-        assert got[i].n_dropped == 0 and got[i].text == rows[i][1]
+    strings = spark.createDataFrame([("a", "first\nMenu bar"), ("b", "second thing\nMenu bar")], "doc_id string, text string")
+    assert sorted(r.text for r in templates.drop_lines(strings).collect()) == ["first", "second thing"]
 
 
 def test_pii_base_spans(spark):
@@ -201,35 +265,30 @@ def test_pii_base_spans(spark):
         assert [(x.start, x.kind, x.end) for x in r.base] == plain.base_spans(texts[0])
 
 
-def test_pii_terms(spark):
+def pii_rows():
     rng = random.Random(4)
-    secret = [(i, f"{sentences(rng, 12)} call zanzibar ops@corp.example.com {sentences(rng, 5)}") for i in range(6)]
-    rows = secret + [(i, sentences(rng, 30)) for i in range(10, 60)] + [(70, "zanzibar alone stays")]
-    df = spark.createDataFrame(rows, SCHEMA)
-    found = pii.find(df)
-    texts = dict(rows)
-    for r in found.collect():
-        told = {texts[r.doc_id][x.start : x.end] for x in r.added}
-        assert ("zanzibar" in told) == (r.doc_id < 6)
-    clean = {r.doc_id: r.text for r in pii.sanitise(df, found).collect()}
-    assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[70] == "zanzibar alone stays"
-
-
-def test_pii_rare_entities(spark):
-    rng = random.Random(6)
-    far = sentences(rng, 60)
-    rows = [(0, f"Zanzibar {far} mail kim@corp.example.com {far} zanzibar"), (1, f"call +1 (499) 555-6503 for quagga {far}"), (2, f"quagga {far} at +1 499 555 6503"), (3, f"{far} {far}")]
-    rows += [(i, sentences(rng, 60)) for i in range(10, 60)]
-    df = spark.createDataFrame([*rows, rows[0]], SCHEMA)
-    texts = dict(rows)
-    want = {0: {"Zanzibar", "mail", "zanzibar"}, 1: {"call", "quagga"}, 2: {"quagga"}}
+    rows = [(i, f"{sentences(rng, 12)} call zanzibar ops{i}@corp.example.com {sentences(rng, 5)}") for i in range(16)]
+    rows += [(20 + i, f"{sentences(rng, 12)} reach quagga +1 (499) 555-65{i:02} {sentences(rng, 5)}") for i in range(12)]
+    rows += [(40 + i, f"{sentences(rng, 8)} copied okapis 10.0.0.7 and {sentences(rng, 3)}") for i in range(9)]  # one value
+    rows += [(100 + i, sentences(rng, 30) + (" okapis" if i < 5 else "")) for i in range(150)]
+    return rows + [(400, "ZANZIBAR alone, where nothing is named; xzanzibar zanzibar"), (401, None), (402, ""), rows[3], rows[3], (None, "quagga without an id")]
+
+
+def test_pii_terms(spark):
+    rows = pii_rows()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", base string, id int")
+    want, disclosure = plain.told(rows)
     found = pii.find(df).collect()
-    assert len(found) == len(rows) + 1
-    for r in found:
-        assert {texts[r.doc_id][x.start : x.end] for x in r.added} == want.get(r.doc_id, set())
-        assert r.doc_id != 0 or len(r.added) == 3  # all places, those in the address not again
-    actions = {texts[r.doc_id][x.start : x.end].lower(): x.action for r in found for x in r.added}
-    assert actions["quagga"] == "remove" and "zanzibar" in actions
+    assert len(found) == len(rows)
+    got = Counter((r.doc_id, tuple((x.start, x.end, x.action) for x in r.added)) for r in found)
+    assert got == Counter((d, tuple(w)) for (d, _), w in zip(rows, want, strict=True))
+    texts = dict(rows)
+    told = {texts[r.doc_id][x.start : x.end].lower() for r in found for x in r.added}
+    assert told == {"zanzibar", "quagga", "call", "reach"} and disclosure["okapis"] < 0.5  # one value is one document's evidence
+    assert [len(r.added) for r in found if r.doc_id == 400] == [2]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, pii.find(df)).collect()}
+    assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and "xzanzibar" in clean[400] and "ZANZIBAR" not in clean[400] and clean[401] is None
+    assert pii.find(df.limit(0)).count() == 0
 
 
 def test_clean_rows_match_digest(spark):
