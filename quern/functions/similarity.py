@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+
+import numpy as np
 
 
 def common(a: str, b: str) -> int:
@@ -45,11 +47,56 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def best_match(text: str, choices: list[str], scorer: Callable[[str, str], float], least: float) -> tuple[int, float] | None:
-    """Position and score of the best choice of at least `least`; of equals the first."""
+def _bigrams(text: str) -> list[tuple[str, int]]:
+    """The pairs of letters of the text's words in order, repeats numbered."""
+    text = " ".join(sorted(set(text.split())))
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(text) - 1):
+        g = text[i : i + 2]
+        seen[g] = seen.get(g, 0) + 1
+        out.append((g, seen[g]))
+    return out
+
+
+class Candidates:
+    """The choices that a text can reach a score of `least` with, by token_set_ratio: those that share a word, and
+    those of about its length that share as many pairs of letters as so similar texts must."""
+
+    def __init__(self, choices: list[str], least: float):
+        self.spare = 1 - least / 100
+        self.size = np.array([len(" ".join(sorted(set(c.split())))) for c in choices])
+        words: dict[str, list[int]] = {}
+        pairs: dict[tuple[str, int], list[int]] = {}
+        for i, choice in enumerate(choices):
+            for w in set(choice.split()):
+                words.setdefault(w, []).append(i)
+            for g in _bigrams(choice):
+                pairs.setdefault(g, []).append(i)
+        self.words = {w: np.array(x) for w, x in words.items()}
+        self.pairs = {g: np.array(x) for g, x in pairs.items()}
+
+    def of(self, text: str) -> list[int]:
+        """Their positions, in order."""
+        n, keep = len(" ".join(sorted(set(text.split())))), np.zeros(len(self.size), bool)
+        shared = np.zeros(len(self.size), np.int64)
+        for g in _bigrams(text):
+            if g in self.pairs:
+                shared[self.pairs[g]] += 1
+        edits = self.spare * (n + self.size) + 1e-9
+        # an insertion spoils one pair of letters and a deletion two, and there are no more insertions than half the edits
+        keep = (np.abs(self.size - n) <= edits) & (shared >= np.minimum(self.size, n) - 1 - 1.5 * edits)
+        for w in set(text.split()):
+            if w in self.words:
+                keep[self.words[w]] = True
+        return np.flatnonzero(keep).tolist()
+
+
+def best_match(text: str, choices: list[str], scorer: Callable[[str, str], float], least: float, only: Iterable[int] | None = None) -> tuple[int, float] | None:
+    """Position and score of the best choice of at least `least`; of equals the first. `only` are the positions to try, in order."""
     top, score = -1, least
-    for i, choice in enumerate(choices):
-        if (now := scorer(text, choice)) > score or (top < 0 and now == score):
+    for i in range(len(choices)) if only is None else only:
+        if (now := scorer(text, choices[i])) > score or (top < 0 and now == score):
             top, score = i, now
             if score >= 100.0:
                 break

@@ -6,7 +6,7 @@ weights, neighbours and components are all frames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.components import components
@@ -36,10 +36,22 @@ def weights(texts: DataFrame, column: str) -> DataFrame:
 
 
 def neighbours(texts: DataFrame, column: str, eps: float = EPS) -> DataFrame:
-    """a, b: ordered pairs of different texts at a cosine distance of at most `eps`."""
+    """a, b: ordered pairs of different texts at a cosine distance of at most `eps`.
+
+    Grams are ordered by their number of texts, rare ones first, and a text is entered under those grams only after
+    which the rest of its vector is still as long as the similarity looked for. The first gram that two near texts share
+    is one of these for both, so frequent grams make pairs only where texts have little else.
+    """
+    least = 1 - eps - 1e-12
     w = scratch.cut(weights(texts, column), "weights")
-    pairs = w.select(F.col("doc").alias("a"), "g", F.col("w").alias("wa")).join(w.select(F.col("doc").alias("b"), "g", F.col("w").alias("wb")), "g").where("a < b")
-    near = pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).where(F.col("cos") >= 1 - eps - 1e-12).select("a", "b")
+    often = w.groupBy(F.col("g").alias("h")).agg(F.count("*").alias("df"))
+    from_here = Window.partitionBy("doc").orderBy(F.col("df").desc(), F.col("g").desc())
+    entered = w.join(often, F.col("g") == F.col("h")).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_here)).where(F.col("rest") >= least * least - 1e-9)
+    entered = scratch.cut(entered.select("doc", "g"), "entered")
+    pairs = entered.select(F.col("doc").alias("a"), "g").join(entered.select(F.col("doc").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
+    counted = pairs.join(w.select(F.col("doc").alias("a"), "g", F.col("w").alias("wa")), "a").join(w.select(F.col("doc").alias("b"), "g", F.col("w").alias("wb")), ["b", "g"])
+    near = counted.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).where(F.col("cos") >= least).select("a", "b")
+    near = scratch.cut(near, "alike")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 

@@ -16,6 +16,7 @@ class Check:
 
     reason: str
     passes: Column
+    needs: str  # the column that the check is about
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,9 @@ def bronze() -> Contract:
         "bronze",
         {"transaction_id": "string", "txn_timestamp": "string", "merchant_descriptor": "string"},
         (
-            Check("Empty transaction_id", F.length("transaction_id") > 0),
-            Check("impossible_date", ~(stamp.startswith("1900-") | stamp.startswith("2030-"))),
-            Check("schema_drift", ~F.coalesce(c("merchant_descriptor").contains(","), F.lit(False))),
+            Check("Empty transaction_id", F.length("transaction_id") > 0, "transaction_id"),
+            Check("impossible_date", ~(stamp.startswith("1900-") | stamp.startswith("2030-")), "txn_timestamp"),
+            Check("schema_drift", ~F.coalesce(c("merchant_descriptor").contains(","), F.lit(False)), "merchant_descriptor"),
         ),
     )
 
@@ -42,24 +43,25 @@ def bronze() -> Contract:
 def silver(keep_unresolved: bool = False) -> Contract:
     c = F.col
     checks = [
-        Check("Confidence out of bounds", c("match_confidence").between(0, 1)),
-        Check("amount_inr_lte_zero_for_approved", F.coalesce(c("amount_inr") > 0, F.lit(False)) | ~c("status").eqNullSafe("APPROVED")),
+        Check("Confidence out of bounds", c("match_confidence").between(0, 1), "match_confidence"),
+        Check("amount_inr_lte_zero_for_approved", F.coalesce(c("amount_inr") > 0, F.lit(False)) | ~c("status").eqNullSafe("APPROVED"), "amount_inr"),
     ]
     for name in ["transaction_id", "merchant_id", "amount_inr", "txn_timestamp"]:
         if not (keep_unresolved and name == "merchant_id"):
-            checks.append(Check(f"not_nullable_{name}", c(name).isNotNull()))
+            checks.append(Check(f"not_nullable_{name}", c(name).isNotNull(), name))
     kinds = {"transaction_id": "string", "merchant_id": "string", "amount_inr": "double", "match_confidence": "double", "txn_timestamp": "timestamp_ntz"}
     return Contract("silver", kinds, tuple(checks))
 
 
-def judged(df: DataFrame, contract: Contract) -> DataFrame:
-    """Adds reject_reason: the failed checks' reasons, sorted and joined by " | ", or null. A missing column or one of
-    another type is an error and not a reject."""
+def judged(df: DataFrame, contract: Contract, strict: bool = False) -> DataFrame:
+    """Adds reject_reason: the failed checks' reasons, sorted and joined by " | ", or null. The checks of a column that is
+    missing or of another type are left out, so no row is rejected for it; with `strict` such a frame is an error."""
     kinds = dict(df.dtypes)
     wrong = {n: kinds.get(n, "missing") for n, k in contract.columns.items() if kinds.get(n) != k}
-    if wrong:
+    if wrong and strict:
         raise ValueError(f"{contract.name}: these columns don't fit the contract: {wrong}")
-    failed = F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(x.passes, F.lit(False)), x.reason) for x in contract.checks])))
+    checks = [x for x in contract.checks if x.needs not in wrong]
+    failed = F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(x.passes, F.lit(False)), x.reason) for x in checks])))
     return df.withColumn(REASON, F.when(F.size(failed) > 0, F.array_join(failed, " | ")))
 
 

@@ -30,14 +30,15 @@ def dropped_copies(df: DataFrame) -> DataFrame:
 
 def flag_near(df: DataFrame, seconds: int = WINDOW_SECONDS, keys: tuple[str, ...] = ("account_id", "merchant_id", "amount_inr"), time: str = "txn_timestamp") -> DataFrame:
     """is_near_duplicate: the row before or after with the same keys is at most `seconds` away. A null key or time
-    never is one. lag and lead share one sort."""
+    never is one, and such rows aren't dealt at all. lag and lead share one sort."""
     w = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_last())
     at = F.unix_micros(F.col(time).cast("timestamp"))
     near = ((at - F.lag(at).over(w)) <= seconds * 1_000_000) | ((F.lead(at).over(w) - at) <= seconds * 1_000_000)
     known = F.col(time).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    return df.withColumn("is_near_duplicate", F.coalesce(known & near, F.lit(False)))
+    flagged = df.where(known).withColumn("is_near_duplicate", F.coalesce(near, F.lit(False)))
+    return flagged.unionByName(df.where(~known).withColumn("is_near_duplicate", F.lit(False)))
 
 
 def flag_outliers(df: DataFrame, value: str = "amount_inr", group: str = "mcc", z: float = OUTLIER_Z) -> DataFrame:

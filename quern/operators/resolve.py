@@ -12,29 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import cleaning as c
-from quern.functions.similarity import best_match, token_set_ratio
+from quern.functions.similarity import Candidates, best_match, token_set_ratio
 from quern.operators.cluster import density_clusters
 from quern.plans import scratch
 
 SIMILAR = 88.0
+ALIASES = 500_000  # of a dictionary that is broadcast
 TIERS = ("exact", "fuzzy", "cluster")
 
 
 def exact(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """names (descriptor_clean, n) with the dictionary's columns where the alias is equal; of equal aliases the last."""
     best = dictionary.groupBy("alias").agg(F.max_by("merchant_id", "position").alias("merchant_id"), F.max_by("canonical_name", "position").alias("merchant_name"))
-    return names.join(F.broadcast(best), F.col("descriptor_clean") == F.col("alias"), "left").drop("alias")
+    return names.join(scratch.small(best, ALIASES), F.col("descriptor_clean") == F.col("alias"), "left").drop("alias")
 
 
 def similar(names: DataFrame, dictionary: DataFrame, least: float = SIMILAR) -> DataFrame:
     """descriptor_clean, merchant_id, merchant_name, match_confidence of those with a similar alias; ties go to the
-    alias that comes first. The dictionary is a bounded reference list."""
+    alias that comes first. The dictionary is a bounded reference list. Only candidates are scored (see Candidates)."""
     rows = dictionary.orderBy("position").select("alias", "merchant_id", "canonical_name").collect()
     aliases = [r.alias for r in rows]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Candidates(aliases, least)
         for batch in batches:
-            found = [(s, *m) for s in batch.column(0).to_pylist() if (m := best_match(s, aliases, token_set_ratio, least))]
+            found = [(s, *m) for s in batch.column(0).to_pylist() if (m := best_match(s, aliases, token_set_ratio, least, index.of(s)))]
             texts = [[s for s, _, _ in found], [rows[i].merchant_id for _, i, _ in found], [rows[i].canonical_name for _, i, _ in found]]
             scores = pa.array([x / 100 for _, _, x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*(pa.array(t, pa.string()) for t in texts), scores], names=["descriptor_clean", "merchant_id", "merchant_name", "match_confidence"])

@@ -6,27 +6,61 @@ Every choice is a hash of the row's number and a salt, so results don't depend o
 from __future__ import annotations
 
 import math
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import cleaning
 from quern.plans import scratch
+from quern.sources import reference
 
 RATES = {"near": 0.015, "copies": 0.01, "outliers": 0.002, "impossible": 0.001, "parens": 0.02, "usd": 0.12, "no_currency": 0.15, "no_mcc": 0.25, "sentinels": 0.08, "drift": 0.0005}
-#: category: (code, group, mu, sigma of the logarithm of amounts)
-CATEGORIES = {"Coffee": ("5814", "Food", 5.2, 0.5), "Grocery": ("5411", "Food", 6.5, 0.8), "Apparel": ("5651", "Retail", 7.0, 0.9), "Fuel": ("5541", "Travel", 7.0, 0.5), "Airline": ("4511", "Travel", 8.8, 0.8), "Pharmacy": ("5912", "Services", 6.0, 0.8)}
-HOURS = {"Food": [(9, 2, 0.5), (19, 2, 0.5)], "Retail": [(15, 3, 1.0)], "Travel": [(8, 2, 0.6), (18, 3, 0.4)], "Services": [(12, 4, 1.0)]}
-NAMES = ["Amber Lane", "Birch Corner", "Cedar Point", "Delta Works", "Elm Street Supply", "Fern Hollow", "Granite Yard", "Harbor House", "Indigo Market", "Juniper Grove", "Kestrel Trading", "Lantern Room"]
-CITIES = ["Ashford", "Brookvale", "Clearwater", "Dunmore", "Eastport", "Fairhaven", "Glenbrook", "Highgate"]
-STATES = ["NY", "CA", "DL", "HR", "KA", "MH"]
+#: Mean and spread of the logarithm of amounts, for two of three categories by rule; the others take FALLBACK.
+AMOUNTS = {category: (4.5 + int(code) * 7 % 40 / 10, 0.3 + int(code) * 3 % 8 / 10) for code, category, _ in reference.MCC if int(code) % 3}
+FALLBACK = (6.25, 0.75)
+#: By group: the hours around which transactions lie, as (mean, spread, share).
+HOURS = {"Food": [(9, 2, 0.5), (19, 2, 0.5)], "Retail": [(15, 3, 1.0)], "Travel": [(8, 2, 0.6), (18, 3, 0.4)], "Home": [(13, 4, 1.0)], "Services": [(12, 4, 1.0)]}
+NAMES = [f"{a} {b}" for b in ("Lane", "Corner", "Works", "Market", "Supply", "Trading", "House", "Rooms", "Yard", "Grove") for a in ("Amber", "Birch", "Cedar", "Delta", "Elm", "Fern", "Granite", "Harbor", "Indigo", "Juniper", "Kestrel", "Lantern")]
+#: Cities with their codes; spellings are a table made from these.
+CITIES = {"Ashford": "ASH", "Brookvale": "BRK", "Clearwater": "CLW", "Dunmore": "DNM", "Eastport": "EPT", "Fairhaven": "FHV", "Glenbrook": "GLB", "Highgate": "HGT", "Ironbridge": "IRB", "Jasper Falls": "JSP", "Kingsmead": "KGM", "Lakeside": "LKS"}
+VARIANTS = {c: [c, c.upper(), c.lower(), f" {c}", code, f"{c} City", c.replace("o", "oo", 1), c[:4] + c[5:]] for c, code in CITIES.items()}
+STATES = re.findall(r"[A-Z]{2}", next(p for p, _ in cleaning.DESCRIPTOR_RULES if "NY" in p))
+#: What stands before names: of every prefix that tier 0 takes off, its forms with a star.
+PREFIXES = [f"{name}{star}" for name in re.findall(r"[A-Z]{2,}", next(p for p, _ in cleaning.DESCRIPTOR_RULES if "PAYPAL" in p)) for star in (" *", "* ", "*")]
 END = "2024-12-31 23:59:59"
 MONTHS = 18
+SPAN = 1 << 40
+
+
+def drawn(salt: str, key: str = "i") -> Column:
+    """A whole number below SPAN for each row."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(SPAN))
 
 
 def uniform(salt: str, key: str = "i") -> Column:
     """A number in [0, 1) for each row."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
+    return drawn(salt, key) / float(SPAN)
+
+
+def smallest(rows: DataFrame, counts: dict[str, int]) -> dict[str, int]:
+    """For each salt the number up to which `drawn` is in as many rows as `counts` says: ten bits a round, so that each
+    round brings 1,024 counts for a salt to the driver, whatever the number of rows."""
+    found = dict.fromkeys(counts, 0)
+    left = dict(counts)
+    for shift in (30, 20, 10, 0):
+        each = F.array(*[F.struct(F.lit(s).alias("s"), F.when(F.shiftright(drawn(s), shift + 10) == (found[s] >> shift + 10), F.shiftright(drawn(s), shift).bitwiseAND(F.lit(1023))).alias("d")) for s in counts])
+        bins: dict[str, dict[int, int]] = {s: {} for s in counts}
+        for r in rows.select(F.explode(each).alias("x")).select("x.*").where("d IS NOT NULL").groupBy("s", "d").count().collect():
+            bins[r.s][r.d] = r["count"]
+        for s, by in bins.items():
+            digit = 0
+            for digit in sorted(by):
+                if left[s] <= by[digit]:
+                    break
+                left[s] -= by[digit]
+            found[s] |= digit << shift
+    return found
 
 
 def normal(salt: str) -> Column:
@@ -36,11 +70,9 @@ def normal(salt: str) -> Column:
 def pick(values: list, salt: str, weights: list[float] | None = None) -> Column:
     """A value for each row, with equal chances or the given ones."""
     weights = weights or [1.0] * len(values)
-    u, at, out = uniform(salt), 1.0, F.lit(values[-1])
-    for v, w in reversed(list(zip(values, weights, strict=True))[1:]):
-        at -= w / sum(weights)
-        out = out if v == values[-1] else F.when(u < at + w / sum(weights), F.lit(v)).otherwise(out)
-    return F.when(u < weights[0] / sum(weights), F.lit(values[0])).otherwise(out)
+    ends = [sum(weights[: i + 1]) / sum(weights) for i in range(len(values) - 1)]
+    place = F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda x: x <= uniform(salt))) if ends else F.lit(0)
+    return F.get(F.array(*[F.lit(v) for v in values]), place)
 
 
 def truth(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
@@ -50,10 +82,9 @@ def truth(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
     df = spark.range(n).select(F.col("id").alias("i"))
     df = df.withColumn("merchant_name", pick(NAMES, s("merchant"), [1 / (k + 1) for k in range(len(NAMES))]))
     place = F.array_position(F.array(*[F.lit(x) for x in NAMES]), F.col("merchant_name")).cast("int")
-    kinds = list(CATEGORIES)
-    df = df.withColumns({"merchant_id": F.concat(F.lit("M"), F.lpad(place.cast("string"), 3, "0")), "merchant_category": F.element_at(F.array(*[F.lit(x) for x in kinds]), F.pmod(place, F.lit(len(kinds))) + 1)})
-    by = lambda k: reduce(lambda o, c: F.when(F.col("merchant_category") == c, F.lit(CATEGORIES[c][k])).otherwise(o), kinds, F.lit(CATEGORIES[kinds[0]][k]))
-    df = df.withColumns({"mcc": by(0), "__g": by(1), "__mu": by(2), "__sigma": by(3)})
+    kinds = [(code, category, group, *AMOUNTS.get(category, FALLBACK)) for code, category, group in reference.MCC]
+    by = lambda k: F.get(F.array(*[F.lit(x[k]) for x in kinds]), F.pmod(place, F.lit(len(kinds))).cast("int"))
+    df = df.withColumns({"merchant_id": F.concat(F.lit("M"), F.lpad(place.cast("string"), 3, "0")), "mcc": by(0), "merchant_category": by(1), "__g": by(2), "__mu": by(3), "__sigma": by(4)})
     hour = F.lit(12.0)
     for g, parts in HOURS.items():
         mean, spread = F.lit(float(parts[-1][0])), F.lit(float(parts[-1][1]))
@@ -73,7 +104,7 @@ def truth(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
         {
             "transaction_id": F.regexp_replace(F.substring(F.sha2(F.concat_ws("-", F.lit(str(seed)), "i"), 256), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
             "account_id": F.format_string("ACC-%05d", F.floor(uniform(s("account")) * 5000)),
-            "city": pick(CITIES, s("city")),
+            "city": pick(list(CITIES), s("city")),
             "channel": F.when(F.col("__g") == "Travel", pick(["ONLINE", "POS"], s("channel"), [0.7, 0.3])).otherwise(pick(["POS", "ONLINE", "ATM"], s("channel"), [0.6, 0.35, 0.05])),
             "status": pick(["APPROVED", "DECLINED", "REVERSED"], s("status"), [0.95, 0.04, 0.01]),
         }
@@ -85,7 +116,7 @@ def transforms(seed: str) -> list[tuple[str, object]]:
     """The twelve ways to spoil a descriptor: name and Column -> Column."""
     number = lambda x, lo, hi: (F.floor(uniform(seed + x) * (hi - lo)) + lo).cast("string")
     return [
-        ("aggregator_prefix", lambda c: F.concat(pick(["SQ *", "TST* ", "PAYPAL *", "PP*", "SP ", "GOOGLE *"], seed + "agg"), c)),
+        ("aggregator_prefix", lambda c: F.concat(pick(PREFIXES, seed + "agg"), c)),
         ("truncate", lambda c: F.substring(c, F.lit(1), (F.floor(uniform(seed + "cut") * 9) + 12).cast("int"))),
         ("uppercase", F.upper),
         ("lowercase", F.lower),
@@ -130,22 +161,31 @@ def date_text(t: Column, seed: str = "42") -> Column:
 
 
 def corrupt(clean: DataFrame, seed: str = "42") -> tuple[DataFrame, DataFrame]:
-    """(raw all-string rows in shuffled order, log of defects: transaction_id, defect_type, defect_detail)."""
-    hit = lambda name, rate=None: uniform(seed + name) < (RATES[name] if rate is None else rate)
+    """(raw all-string rows in shuffled order, log of defects: transaction_id, defect_type, defect_detail).
+
+    Each kind of defect hits its rate of the rows, and one row at least: those of the smallest draws.
+    """
+    share = lambda name, n: max(round(RATES[name] * n), 1)
+    n = clean.count()
+    most = smallest(clean, {seed + x: share(x, n) for x in ("near", "outliers")})
+    hit = lambda name: drawn(seed + name) <= most[seed + name]
     near = clean.where(hit("near")).withColumns({"transaction_id": F.concat("transaction_id", F.lit("-N")), "i": F.col("i") + (1 << 50), "txn_timestamp": F.expr("txn_timestamp + make_dt_interval(0, 0, 0, 1 + pmod(xxhash64(i, 'gap'), 120))")})
     near = near.withColumn("__near", F.lit(True))
     rows = clean.withColumn("__near", F.lit(False)).withColumn("__outlier", hit("outliers"))
     rows = rows.withColumn("amount", F.when(F.col("__outlier"), F.col("amount") * 100).otherwise(F.col("amount"))).unionByName(near.withColumn("__outlier", F.lit(False)))
+    kinds = ("impossible", "parens", "no_currency", "no_mcc", "sentinels", "drift", "copies")
+    most |= smallest(rows.select("i"), {seed + x: share(x, n + share("near", n)) for x in kinds})
     rows = spoil_descriptor(rows, seed)
-    flags = {"__impossible": hit("impossible"), "__parens": hit("parens") & (uniform(seed + "really") < 0.5), "__no_currency": hit("no_currency"), "__no_mcc": hit("no_mcc"), "__sentinel": hit("sentinels"), "__drift": hit("drift"), "__copy": hit("copies")}
+    flags = {"__impossible": hit("impossible"), "__parens": hit("parens"), "__no_currency": hit("no_currency"), "__no_mcc": hit("no_mcc"), "__sentinel": hit("sentinels"), "__drift": hit("drift"), "__copy": hit("copies")}
     # cut here: filters over the result would else be moved below twelve nested steps and double at each
     rows = scratch.cut(rows.withColumns(flags), "synthetic")
     token, place = pick(["NA", "N/A", "-", "NULL", "null", "None", "none", "-999"], seed + "token"), F.floor(uniform(seed + "where") * 6)
-    spoiled = lambda k, c: F.when(F.col("__sentinel") & ((place == k) | (hit("second", 0.5) & (F.pmod(place + 1, F.lit(6)) == k))), token).otherwise(c)
+    spoiled = lambda k, c: F.when(F.col("__sentinel") & ((place == k) | ((uniform(seed + "second") < 0.5) & (F.pmod(place + 1, F.lit(6)) == k))), token).otherwise(c)
     city, d = F.col("city"), F.col("merchant_descriptor")
     country = F.when(F.col("country") == "IN", pick(["IN", "India", "IND", "in"], seed + "country")).otherwise(pick(["US", "USA"], seed + "country"))
     channel = F.when(F.col("channel") == "ONLINE", pick(["ONLINE", "online", "e-comm"], seed + "ch")).otherwise(F.when(uniform(seed + "ch") < 0.5, F.lower("channel")).otherwise(F.col("channel")))
     account = pick([0, 1, 2, 3], seed + "acct")
+    spellings = F.create_map(*[x for c, forms in VARIANTS.items() for x in (F.lit(c), F.array(*[F.lit(f) for f in forms]))])
     raw = rows.select(
         "transaction_id",
         spoiled(0, F.when(account == 1, F.lower("account_id")).when(account == 2, F.concat("account_id", F.lit(" "))).when(account == 3, F.concat(F.lit(" "), "account_id")).otherwise(F.col("account_id"))).alias("account_id"),
@@ -154,7 +194,7 @@ def corrupt(clean: DataFrame, seed: str = "42") -> tuple[DataFrame, DataFrame]:
         F.when(F.col("__no_currency"), "").otherwise(F.col("currency")).alias("currency"),
         F.when(F.col("__drift") & (F.length(d) > 3), F.concat(F.substring(d, 1, 3), F.lit(","), F.substring(d, 4, 200))).otherwise(d).alias("merchant_descriptor"),
         F.when(F.col("__no_mcc"), pick(["", "0000", "NA", "N/A"], seed + "nomcc")).otherwise(spoiled(1, F.col("mcc"))).alias("mcc"),
-        spoiled(2, F.get(F.array(city, F.upper(city), F.lower(city), F.concat(F.lit(" "), city), F.substring(city, 1, 4)), F.floor(uniform(seed + "spell") * 5).cast("int"))).alias("city"),
+        spoiled(2, F.get(F.element_at(spellings, city), F.floor(uniform(seed + "spell") * 8).cast("int"))).alias("city"),
         spoiled(3, country).alias("country"), spoiled(4, channel).alias("channel"), spoiled(5, F.col("status")).alias("status"), "__copy", "i",
     )
     raw = scratch.cut(raw, "raw")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern import job
 from quern.functions import cleaning as c
 from quern.operators import clean, cluster, contracts, gold, metrics, quality, resolve, synth
 from quern.plans import oracle, scratch, silver
@@ -71,7 +72,7 @@ def _csv(spark: SparkSession, df: DataFrame, label: str) -> str:
 
 # --- sources and sinks -------------------------------------------------------------------------------------------
 query("src_1", f"SELECT {COLS} FROM ingested")(lambda s, d: transactions.read_raw_csv(s, _csv(s, transactions.from_orders(s, d), "raw")))
-query("src_2", "SELECT merchant_id, canonical_name, alias FROM merchants")(lambda s, d: reference.merchants(s, d).select("merchant_id", "canonical_name", "alias"))
+query("src_2", "SELECT merchant_id, canonical_name, alias, mcc, category FROM merchants")(lambda s, d: reference.merchants(s, d).drop("position"))
 query("src_3", "SELECT * FROM fx")(lambda s, d: reference.fx_rates(s))
 query("src_4", "SELECT DISTINCT n_name AS canonical_city FROM nation")(lambda s, d: reference.cities(s, d))
 
@@ -86,15 +87,13 @@ def src_5(s, d):
 query("src_6", "SELECT merchant_id, m.mcc, category FROM dim_merchant m JOIN mcc_map x ON x.mcc = m.mcc")(
     lambda s, d: star(s, d)[1].select("merchant_id", "mcc").join(F.broadcast(reference.mcc_map(s)), "mcc").select("merchant_id", "mcc", "category")
 )
-query("src_7", "SELECT count(*) AS n, count(nullif(mcc, '')) AS with_mcc, count(CASE WHEN mcc = 'NA' THEN 1 END) AS na FROM raw_rows")(
-    lambda s, d: transactions.read_typed_csv(s, _csv(s, transactions.from_orders(s, d), "raw"), ", ".join(f"{x} string" for x in transactions.COLUMNS)).agg(F.count("*").alias("n"), F.count("mcc").alias("with_mcc"), F.count_if(F.col("mcc") == "NA").alias("na"))
+query("src_7", "SELECT transaction_id, nullif(mcc, '') AS mcc, nullif(status, '') AS status FROM raw_rows")(
+    lambda s, d: transactions.read_typed_csv(s, _csv(s, transactions.from_orders(s, d), "raw"), ", ".join(f"{x} string" for x in transactions.COLUMNS)).select("transaction_id", "mcc", "status")
 )
-query("src_8", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")(lambda s, d: table(s, d, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_totalprice"))
-query("src_9", "SELECT count(*) AS n FROM copies WHERE copy_no > 1")(lambda s, d: s.read.option("header", True).csv(_csv(s, build(s, d).dropped.select("transaction_id", "amount_original"), "dropped")).agg(F.count("*").alias("n")))
-query("src_10", "SELECT c AS canonical_city, array_to_string(list_sort(list_distinct([c, lower(c), upper(c[1]) || lower(c[2:]), ' ' || c])), '|') AS variants FROM (SELECT DISTINCT n_name AS c FROM nation WHERE NOT contains(n_name, ' '))")(
-    lambda s, d: reference.city_variants(s, d).where(~F.col("canonical_city").contains(" ")).select("canonical_city", F.array_join("variants", "|").alias("variants"))
-)
-query("src_11", "SELECT merchant_id, canonical_name FROM merchants")(
+query("src_8", "SELECT o_orderkey, o_totalprice FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", "o_totalprice"))
+query("src_9", "SELECT transaction_id, amount_original FROM copies WHERE copy_no > 1")(lambda s, d: s.read.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(_csv(s, build(s, d).dropped.select("transaction_id", "amount_original"), "dropped")))
+query("src_10", "SELECT c AS canonical_city, array_to_string(list_sort(list_distinct([c, lower(c), replace(c, ' ', ''), ' ' || c])), '|') AS variants FROM (SELECT DISTINCT n_name AS c FROM nation)")(lambda s, d: reference.city_variants(s, d).select("canonical_city", F.array_join("variants", "|").alias("variants")))
+query("src_11", "SELECT DISTINCT merchant_id, canonical_name FROM merchants")(
     lambda s, d: reference.merchants(s, d).withColumn("r", F.row_number().over(Window.partitionBy("merchant_id").orderBy("position"))).where("r = 1").select("merchant_id", "canonical_name")
 )
 query("src_12", "SELECT mcc, category_group FROM mcc_map")(lambda s, d: reference.mcc_map(s).select("mcc", "category_group"))
@@ -115,7 +114,7 @@ def src_14(s, d):
     return s.createDataFrame([(got["near_duplicates_flagged"], got["exact_duplicates_dropped"])], "near_duplicates_flagged long, exact_duplicates_dropped long")
 
 
-query("src_15", "SELECT category, category_group FROM mcc_map WHERE mcc < '5010'")(lambda s, d: sinks.save_view(reference.mcc_map(s), "mcc_codes").where("mcc < '5010'").select("category", "category_group"))
+query("src_15", "SELECT category, category_group FROM mcc_map")(lambda s, d: sinks.save_view(reference.mcc_map(s), "mcc_codes").select("category", "category_group"))
 
 
 def _snk(name: str, part: str, sql: str) -> None:
@@ -134,38 +133,64 @@ _snk("snk_3", "dropped_exact_dupes", "SELECT transaction_id FROM copies WHERE co
 _snk("snk_4", "silver", "SELECT transaction_id FROM silver")
 
 
-@query("snk_5", "SELECT count(*) AS n FROM dim_merchant")
-def snk_5(s, d):
-    path = scratch.new_path(s, "dim_merchant")
-    star(s, d)[1].write.mode("overwrite").parquet(path)
-    return s.read.parquet(path).agg(F.count("*").alias("n"))
+_USED = "status = 'APPROVED' AND NOT is_outlier"
+_MIX = f"SELECT m.merchant_category, f.mcc_imputed_flag, count(*) AS transaction_count, round(sum(amount_inr), 2) AS total_spend_inr FROM fct f JOIN dim_merchant m ON m.merchant_id = f.merchant_id WHERE {_USED} GROUP BY ALL"
+
+
+def _gold(part: str) -> Query:
+    """A table or view of the job's last step."""
+    return lambda s, d: job.save_gold(s, build(s, d).silver, reference.mcc_map(s), scratch.new_path(s, "gold"))[part]
 
 
-query("snk_6", "SELECT count(*) AS n FROM fct")(lambda s, d: sinks.save_view(star(s, d)[0], "v_fct").agg(F.count("*").alias("n")))
+query("snk_5", "SELECT * FROM dim_merchant")(_gold("dim_merchant"))
+query("snk_5_fact", "SELECT * FROM fct")(_gold("fct_transactions"))
+query("snk_6", _MIX)(_gold("v_category_mix"))
 
 
-@query("snk_7", "SELECT 13 AS n")
+@query("snk_7", """SELECT column0 AS metric FROM (VALUES ('distinct merchant strings raw'), ('distinct merchant strings clean'), ('rows with valid date clean pct'), ('rows with numeric amount clean pct'), ('rows with mcc raw pct'),
+  ('rows with mcc clean pct'), ('mcc imputed count'), ('distinct city spellings raw'), ('distinct city spellings clean'), ('exact duplicates dropped'), ('near duplicates flagged'), ('rows quarantined'), ('quarantine pct')) t(column0)""")
 def snk_7(s, d):
     folder = scratch.new_path(s, "reports")
     sinks.scorecard_reports(s, card(s, d), folder)
-    return s.read.text(f"{folder}/scorecard.md").where("value LIKE '| %' AND value NOT LIKE '| Metric%'").agg(F.count("*").cast("int").alias("n"))
+    return s.read.text(f"{folder}/scorecard.md").where("value LIKE '| %' AND value NOT LIKE '| Metric%'").select(F.trim(F.split("value", "[|]")[1]).alias("metric"))
 
 
-@query("snk_8", "SELECT 11 AS n")
+_CELLS = r"(?s)<tr[^>]*>\s*<td>(.*?)</td>\s*<td>(.*?)</td>\s*<td>(.*?)</td>"
+
+
+@query("snk_8", "SELECT column_name, CAST(count(nullif(value, '~')) AS VARCHAR) AS filled FROM (UNPIVOT (SELECT * FROM ingested) ON COLUMNS(*) INTO NAME column_name VALUE value) GROUP BY 1")
 def snk_8(s, d):
     path = scratch.new_path(s, "profile.html")
     sinks.profile_html(s, metrics.profile(raw(s, d)), path)
-    return s.read.text(path, wholetext=True).select((F.size(F.split("value", "<tr")) - 2).alias("n"))
+    cells = s.read.text(path, wholetext=True).select(F.explode(F.arrays_zip(F.regexp_extract_all("value", F.lit(_CELLS), F.lit(1)).alias("a"), F.regexp_extract_all("value", F.lit(_CELLS), F.lit(2)).alias("b"))).alias("x"))
+    return cells.select(F.col("x.a").alias("column_name"), F.col("x.b").alias("filled"))
 
 
-@query("snk_9", "SELECT count(*) AS n FROM raw_rows")
+@query("snk_9", f"SELECT {COLS} FROM raw_rows")
 def snk_9(s, d):
     path = scratch.new_path(s, "truth")
     transactions.from_orders(s, d).write.parquet(path)
-    return s.read.parquet(path).agg(F.count("*").alias("n"))
+    return s.read.parquet(path)
+
+
+_GATES = """SELECT 'raw' AS gate, count(*) AS total, count(*) AS passed, 0 AS rejected FROM raw_rows
+  UNION ALL SELECT 'bronze', count(*), count(*) FILTER (reject_reason IS NULL), count(reject_reason) FROM bronze
+  UNION ALL SELECT 'parse', count(*), count(*) FILTER (reject_reason IS NULL), count(reject_reason) FROM parsed
+  UNION ALL SELECT 'copies', count(*), count(*) FILTER (copy_no = 1), count(*) FILTER (copy_no > 1) FROM copies
+  UNION ALL SELECT 'silver', count(*), count(*) FILTER (reject_reason IS NULL), count(reject_reason) FROM checked"""
+
 
+@query("snk_10", _GATES)
+def snk_10(s, d):
+    """The counts that the job logs, checked against each other."""
+    rows = job.gates(raw(s, d), build(s, d))
+    job.check({r.gate: (r.total, r.passed, r.rejected) for r in rows.collect()})
+    return rows
 
-query("snk_10", "SELECT count(*) AS total, count(*) FILTER (reject_reason IS NULL) AS passed, count(*) FILTER (reject_reason IS NOT NULL) AS rejected FROM bronze")(lambda s, d: contracts.conservation(build(s, d).bronze))
+
+query("snk_10_sentinels", "SELECT column_name, count(*) FILTER (trim(value) IN ('NA', 'N/A', '-', 'NULL', '-999', '')) AS n_mapped FROM (UNPIVOT (SELECT * FROM ingested) ON COLUMNS(*) INTO NAME column_name VALUE value) GROUP BY 1")(
+    lambda s, d: clean.sentinel_counts(raw(s, d))
+)
 
 # --- contracts, predicates and projections -----------------------------------------------------------------------
 for _i, (_reason, _sql) in enumerate(oracle.BRONZE):
@@ -191,14 +216,15 @@ _silver_check("flt_6", ["amount_inr_lte_zero_for_approved"])
 query("flt_7_quarantine", "SELECT transaction_id, coalesce(reject_reason, '') AS reject_reason FROM checked")(lambda s, d: build(s, d).checked.select("transaction_id", F.coalesce("reject_reason", F.lit("")).alias("reject_reason")))
 
 
-@query("flt_8_schema", "SELECT 1 AS refused")
+@query("flt_8_schema", f"SELECT txn_timestamp, merchant_descriptor, {oracle.reasons(oracle.BRONZE[1:])} AS reject_reason FROM ingested")
 def flt_8(s, d):
-    """A frame that lacks a column of the contract is refused as a whole."""
+    """A frame that lacks a column of the contract: no row is rejected for it, and a strict contract refuses the frame."""
+    rows = raw(s, d).drop("transaction_id")
     try:
-        contracts.judged(raw(s, d).drop("transaction_id"), contracts.bronze())
+        contracts.judged(rows, contracts.bronze(), strict=True)
     except ValueError:
-        return s.range(1).select(F.lit(1).alias("refused"))
-    return s.range(1).select(F.lit(0).alias("refused"))
+        return contracts.judged(rows, contracts.bronze()).select("txn_timestamp", "merchant_descriptor", "reject_reason")
+    raise AssertionError("the frame wasn't refused")
 
 
 query("flt_9", "SELECT reject_reason, count(*) AS n FROM checked WHERE reject_reason IS NOT NULL GROUP BY 1")(lambda s, d: contracts.rejected(build(s, d).checked).groupBy("reject_reason").agg(F.count("*").alias("n")))
@@ -224,17 +250,15 @@ query("jon_3", "SELECT f.transaction_id, x.year, x.month FROM fct f JOIN dim_dat
 query("jon_4", "SELECT transaction_id, currency_inferred, amount_inr FROM priced")(lambda s, d: after(s, d, "priced").select("transaction_id", "currency_inferred", "amount_inr"))
 query("jon_5", "SELECT r.transaction_id, mode_mcc FROM resolved r JOIN modes ON mode_id = merchant_id")(lambda s, d: (rows := after(s, d, "resolved")).join(resolve._modes(rows.where(~c.mcc_missing(F.col("mcc")) & F.col("merchant_id").isNotNull()).groupBy("merchant_id", "mcc").agg(F.count("*").alias("n"))), F.col("merchant_id") == F.col("__q_m")).select("transaction_id", F.col("__q_mode").alias("mode_mcc")))
 query("jon_6")(lambda s, d: resolve.similar(after(s, d, "resolved").where("match_method = 'unresolved'").select("descriptor_clean").distinct(), reference.merchants(s, d)))
-query("jon_7")(lambda s, d: clean.similar_cities(after(s, d, "priced").select(F.lower(c.strip(F.col("city"))).alias("spelling")).where("spelling <> ''").distinct(), sorted(r[0] for r in reference.cities(s, d).collect())))
+query("jon_7", "SELECT * FROM (" + oracle.similar("SELECT DISTINCT lower(trim(coalesce(city, ''))) AS s, n_name AS c FROM priced, nation WHERE trim(coalesce(city, '')) <> ''", 80) + ")")(lambda s, d: clean.similar_cities(after(s, d, "priced").select(F.lower(c.strip(F.col("city"))).alias("spelling")).where("spelling <> ''").distinct(), sorted(r[0] for r in reference.cities(s, d).collect())))
 query("jon_8", "SELECT transaction_id FROM bronze WHERE reject_reason IS NULL")(lambda s, d: contracts.passed(build(s, d).bronze).select("transaction_id"))
 query("jon_9")(lambda s, d: cluster.neighbours(after(s, d, "resolved").where("match_method = 'unresolved'").select("descriptor_clean").distinct(), "descriptor_clean"))
 query("jon_10", "SELECT transaction_id, city_canonical FROM located")(lambda s, d: clean.cities(after(s, d, "priced"), reference.cities(s, d), fuzzy=False).select("transaction_id", "city_canonical"))
 
 # --- aggregates --------------------------------------------------------------------------------------------------
 _used = lambda s, d: star(s, d)[0].where("status = 'APPROVED' AND NOT is_outlier")
-_USED = "status = 'APPROVED' AND NOT is_outlier"
 query("agg_1", f"SELECT raw_descriptor, round(sum(amount_inr), 2) AS total_spend FROM fct WHERE {_USED} GROUP BY 1")(lambda s, d: _used(s, d).groupBy("raw_descriptor").agg(gold.money(F.col("amount_inr")).alias("total_spend")))
 query("agg_2", f"SELECT m.merchant_name, round(sum(amount_inr), 2) AS total_spend FROM fct f JOIN dim_merchant m ON m.merchant_id = f.merchant_id WHERE {_USED} GROUP BY 1")(lambda s, d: _used(s, d).join(star(s, d)[1].select("merchant_id", "merchant_name"), "merchant_id").groupBy("merchant_name").agg(gold.money(F.col("amount_inr")).alias("total_spend")))
-_MIX = f"SELECT m.merchant_category, f.mcc_imputed_flag, count(*) AS transaction_count, round(sum(amount_inr), 2) AS total_spend_inr FROM fct f JOIN dim_merchant m ON m.merchant_id = f.merchant_id WHERE {_USED} GROUP BY ALL"
 query("agg_3", _MIX)(lambda s, d: gold.category_mix(*star(s, d)))
 query("agg_4", "SELECT count(*) AS n, round(sum(amount_inr), 2) AS total FROM fct WHERE is_near_duplicate")(lambda s, d: star(s, d)[0].where("is_near_duplicate").agg(F.count("*").alias("n"), gold.money(F.col("amount_inr")).alias("total")))
 _HEALTH = """SELECT f.channel, x.year, x.month, count(*) AS total_txns, round(count(*) FILTER (match_method = 'unresolved') * 100.0::DOUBLE / count(*), 9) AS pct_unresolved_merchants,
@@ -266,8 +290,8 @@ query("agg_18", f"SELECT merchant_category, round(sum(total_spend_inr), 2) AS to
 _TOPS = """SELECT * FROM (SELECT raw_descriptor AS merchant_identity, round(sum(amount_inr), 2) AS total_spend, row_number() OVER (ORDER BY round(sum(amount_inr), 2) DESC, raw_descriptor) AS rank, 'Before (Raw Descriptor)' AS state FROM fct WHERE status = 'APPROVED' AND NOT is_outlier GROUP BY 1)
   WHERE rank <= 10 UNION ALL SELECT * FROM (SELECT m.merchant_name, round(sum(amount_inr), 2) AS total_spend, row_number() OVER (ORDER BY round(sum(amount_inr), 2) DESC, m.merchant_name) AS rank, 'After (Resolved Identity)' FROM fct f JOIN {dim} m ON m.merchant_id = f.merchant_id WHERE status = 'APPROVED' AND NOT is_outlier GROUP BY 1) WHERE rank <= 10"""
 query("win_1", _TOPS.format(dim="dim_merchant"))(lambda s, d: gold.top_merchants(*star(s, d)))
-_gap = lambda f: lambda s, d: after(s, d, "imputed").dropDuplicates(["account_id", "merchant_id", "amount_inr", "txn_timestamp"]).select("account_id", "merchant_id", "amount_inr", "txn_timestamp", F.abs(F.unix_micros(F.col("txn_timestamp").cast("timestamp")) - F.unix_micros(f("txn_timestamp").over(Window.partitionBy("account_id", "merchant_id", "amount_inr").orderBy("txn_timestamp")).cast("timestamp"))).alias("gap")).fillna(-1, ["gap"])
-_GAP = "SELECT account_id, merchant_id, amount_inr, txn_timestamp, coalesce(gap0, -1) AS gap FROM (SELECT account_id, merchant_id, amount_inr, txn_timestamp, abs(epoch_us(txn_timestamp) - epoch_us({f}(txn_timestamp) OVER (PARTITION BY account_id, merchant_id, amount_inr ORDER BY txn_timestamp))) AS gap0 FROM (SELECT DISTINCT account_id, merchant_id, amount_inr, txn_timestamp FROM imputed))"
+_gap = lambda f: lambda s, d: after(s, d, "imputed").select("account_id", "merchant_id", "amount_inr", "txn_timestamp", F.abs(F.unix_micros(F.col("txn_timestamp").cast("timestamp")) - F.unix_micros(f("txn_timestamp").over(Window.partitionBy("account_id", "merchant_id", "amount_inr").orderBy("txn_timestamp")).cast("timestamp"))).alias("gap")).fillna(-1, ["gap"])
+_GAP = "SELECT account_id, merchant_id, amount_inr, txn_timestamp, coalesce(gap0, -1) AS gap FROM (SELECT account_id, merchant_id, amount_inr, txn_timestamp, abs(epoch_us(txn_timestamp) - epoch_us({f}(txn_timestamp) OVER (PARTITION BY account_id, merchant_id, amount_inr ORDER BY txn_timestamp))) AS gap0 FROM imputed)"
 query("win_2", _GAP.format(f="lag"))(_gap(F.lag))
 query("win_3", _GAP.format(f="lead"))(_gap(F.lead))
 query("win_4", "SELECT transaction_id, copy_no FROM copies")(lambda s, d: quality.number_copies(after(s, d, "imputed")).select("transaction_id", F.col("copy_no").cast("long").alias("copy_no")))
@@ -282,7 +306,7 @@ query("srt_5", f"{_EXPLORE} ORDER BY f.transaction_id, m.mcc, raw_descriptor LIM
 query("srt_6", "SELECT transaction_id FROM raw_rows")(lambda s, d: transactions.from_orders(s, d).select("transaction_id").orderBy(F.xxhash64("transaction_id", F.lit(42))))
 query("srt_7", f"SELECT merchant_category, round(sum(total_spend_inr), 2) AS total FROM ({_MIX}) GROUP BY 1 ORDER BY 2 DESC")(lambda s, d: QUERIES["agg_18"](s, d).orderBy(F.col("total").desc()))
 query("set_1", f"SELECT raw_descriptor AS name FROM fct WHERE {_USED} UNION ALL SELECT descriptor_clean FROM fct WHERE {_USED}")(lambda s, d: _used(s, d).select(F.col("raw_descriptor").alias("name")).unionByName(_used(s, d).select(F.col("descriptor_clean").alias("name"))))
-query("set_2", "SELECT transaction_id FROM near UNION ALL SELECT transaction_id FROM copies WHERE copy_no > 1")(lambda s, d: build(s, d).checked.select("transaction_id").unionByName(build(s, d).dropped.select("transaction_id")))
+query("set_2", "SELECT transaction_id FROM copies WHERE copy_no = 1 UNION ALL SELECT transaction_id FROM copies WHERE copy_no > 1")(lambda s, d: build(s, d).checked.select("transaction_id").unionByName(build(s, d).dropped.select("transaction_id")))
 query("set_3", "SELECT transaction_id FROM fct WHERE is_near_duplicate EXCEPT SELECT transaction_id FROM raw_rows WHERE ends_with(transaction_id, 'N')")(lambda s, d: star(s, d)[0].where("is_near_duplicate").select("transaction_id").subtract(transactions.from_orders(s, d).where(F.col("transaction_id").endswith("N")).select("transaction_id")))
 
 # --- scalar rules ------------------------------------------------------------------------------------------------
@@ -292,12 +316,16 @@ query("scl_1_dates", f"SELECT transaction_id, txn_timestamp AS raw, {oracle.stam
 query("scl_2_epoch", f"SELECT transaction_id, {oracle.stamp('txn_timestamp')} AS parsed FROM ingested WHERE try_cast(txn_timestamp AS DOUBLE) IS NOT NULL")(
     lambda s, d: raw(s, d).where(F.col("txn_timestamp").try_cast("double").isNotNull()).select("transaction_id", c.parse_timestamp(F.col("txn_timestamp")).alias("parsed"))
 )
-query("scl_3", "SELECT count(*) AS n FROM parsed WHERE txn_timestamp IS NULL")(lambda s, d: build(s, d).parsed.where("txn_timestamp IS NULL").agg(F.count("*").alias("n")))
+query("scl_3", "SELECT transaction_id, reject_reason FROM parsed WHERE txn_timestamp IS NULL")(lambda s, d: build(s, d).parsed.where("txn_timestamp IS NULL").select("transaction_id", "reject_reason"))
 query("scl_4_amounts", f"SELECT transaction_id, amount AS raw, {oracle.amount('amount')} AS parsed FROM ingested")(lambda s, d: raw(s, d).select("transaction_id", F.col("amount").alias("raw"), c.parse_amount(F.col("amount")).alias("parsed")))
 query("scl_5_currency", "SELECT transaction_id, currency_original, currency_inferred FROM priced")(lambda s, d: after(s, d, "priced").select("transaction_id", "currency_original", "currency_inferred"))
 query("scl_6_inr", "SELECT transaction_id, amount, amount_inr FROM priced")(lambda s, d: after(s, d, "priced").select("transaction_id", "amount", "amount_inr"))
-query("scl_7_geo")(lambda s, d: clean.cities(after(s, d, "priced"), reference.cities(s, d)).select("transaction_id", "city", "city_canonical"))
-query("scl_7_geo_variants")(lambda s, d: clean.cities(after(s, d, "priced"), reference.cities(s, d), variants=reference.city_variants(s, d)).select("transaction_id", "city", "city_canonical"))
+_BEST = oracle.similar("SELECT DISTINCT lower(trim(coalesce(city, ''))) AS s, n_name AS c FROM priced, nation WHERE trim(coalesce(city, '')) <> ''", 80)
+query("scl_7_geo", f"""SELECT transaction_id, city, coalesce(n.n_name, b.best, p.city, '') AS city_canonical FROM priced p LEFT JOIN (SELECT DISTINCT n_name FROM nation) n ON lower(n.n_name) = lower(trim(coalesce(p.city, '')))
+  LEFT JOIN ({_BEST}) b ON b.spelling = lower(trim(coalesce(p.city, '')))""")(lambda s, d: clean.cities(after(s, d, "priced"), reference.cities(s, d)).select("transaction_id", "city", "city_canonical"))
+query("scl_7_geo_variants", f"""SELECT transaction_id, city, coalesce(n.c, b.best, p.city, '') AS city_canonical FROM priced p
+  LEFT JOIN (SELECT DISTINCT v, min(c) OVER (PARTITION BY v) AS c FROM (SELECT n_name AS c, lower(trim(unnest([n_name, lower(n_name), replace(n_name, ' ', '')]))) AS v FROM nation)) n ON n.v = lower(trim(coalesce(p.city, '')))
+  LEFT JOIN ({_BEST}) b ON b.spelling = lower(trim(coalesce(p.city, '')))""")(lambda s, d: clean.cities(after(s, d, "priced"), reference.cities(s, d), variants=reference.city_variants(s, d)).select("transaction_id", "city", "city_canonical"))
 query("scl_8_sentinels", "SELECT transaction_id, account_id, city, country, channel, status, mcc, amount_original, currency_original FROM sentinel")(lambda s, d: after(s, d, "sentinel").select("transaction_id", "account_id", "city", "country", "channel", "status", "mcc", "amount_original", "currency_original"))
 query("scl_9_tier0", f"SELECT transaction_id, {oracle.descriptor('merchant_descriptor')} AS descriptor_clean FROM ingested")(lambda s, d: raw(s, d).select("transaction_id", c.normal_descriptor(F.col("merchant_descriptor")).alias("descriptor_clean")))
 query("scl_10", "SELECT mcc IS NULL OR mcc = '0000' AS missing, count(*) AS n FROM resolved GROUP BY 1")(lambda s, d: after(s, d, "resolved").groupBy(c.mcc_missing(F.col("mcc")).alias("missing")).agg(F.count("*").alias("n")))
@@ -364,8 +392,25 @@ query("met_1_full")(lambda s, d: card(s, d, FULL))
 
 
 # --- generator ---------------------------------------------------------------------------------------------------
-ROWS = 20_000
-QUERIES["gen_truth"] = lambda s, d: synth.truth(s, ROWS)
-QUERIES["def_raw"] = lambda s, d: synth.corrupt(synth.truth(s, ROWS))[0]
-QUERIES["def_log"] = lambda s, d: synth.corrupt(synth.truth(s, ROWS))[1]
-QUERIES["agg_14"] = lambda s, d: synth.corrupt(synth.truth(s, ROWS))[1].groupBy("defect_type").agg(F.count("*").alias("n"), F.round(F.count("*") * 100.0 / ROWS, 4).alias("percent"))
+def _generated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """truth, raw and log of as many raw rows as the folder has orders; made once for each application."""
+    key = (s.sparkContext.applicationId, d, "generated")
+    if key not in _built:
+        truth = scratch.cut(synth.truth(s, table(s, d, "orders").count()), "truth")
+        _built[key] = (truth, *synth.corrupt(truth))
+    return _built[key]
+
+
+query("gen_truth")(lambda s, d: _generated(s, d)[0])
+query("gen_1", f"SELECT CAST(round(count(*) / {1 + synth.RATES['near'] + synth.RATES['copies']}) AS BIGINT) AS n FROM orders")(lambda s, d: _generated(s, d)[0].agg(F.countDistinct("transaction_id").alias("n")))
+query("gen_2", """SELECT mcc, CAST('Category ' || substr(mcc, 3, 2) AS VARCHAR) AS merchant_category FROM mcc_map""")(lambda s, d: _generated(s, d)[0].select("mcc", "merchant_category").distinct())
+query("def_raw")(lambda s, d: _generated(s, d)[1])
+query("def_log")(lambda s, d: _generated(s, d)[2])
+#: Each kind of defect hits the same number of rows whatever the seed: its rate of the rows it is drawn from, one at least.
+_N = f"SELECT CAST(round(count(*) / {1 + synth.RATES['near'] + synth.RATES['copies']}) AS BIGINT) AS n FROM orders"
+_M = f"SELECT n, n + greatest(CAST(round_even({synth.RATES['near']} * n, 0) AS BIGINT), 1) AS m FROM ({_N})"
+_KINDS = [("near_duplicate", "near", "n"), ("extreme_outlier", "outliers", "n"), ("impossible_date", "impossible", "m"), ("paren_negative", "parens", "m"), ("missing_currency", "no_currency", "m"), ("missing_mcc", "no_mcc", "m"), ("sentinel_null", "sentinels", "m"), ("schema_drift", "drift", "m"), ("exact_duplicate", "copies", "m")]
+_COUNTS = " UNION ALL ".join([f"SELECT '{kind}' AS defect_type, greatest(CAST(round_even({synth.RATES[rate]} * {of}, 0) AS BIGINT), 1) AS n, m FROM ({_M})" for kind, rate, of in _KINDS] + [f"SELECT '{kind}', m, m FROM ({_M})" for kind in ("descriptor", "date_format")])
+query("agg_14", f"SELECT defect_type, n, round(n * 100.0 / m, 4) AS percent FROM ({_COUNTS})")(
+    lambda s, d: (log := _generated(s, d)[2]).groupBy("defect_type").agg(F.count("*").alias("n")).join(log.agg(F.countDistinct("transaction_id").alias("m")), F.lit(True)).select("defect_type", "n", F.round(F.col("n") * 100.0 / F.col("m"), 4).alias("percent"))
+)

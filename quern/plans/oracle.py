@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from quern.functions import cleaning as c
-from quern.sources import reference, transactions
+from quern.sources import transactions
 
 COLUMNS = transactions.COLUMNS
 
+#: Fixed values, written out here once more, so that an error in the engine's own lists shows.
+LEAST_EPOCH = 100000000
+SENTINELS = ["NA", "N/A", "-", "NULL", "-999", ""]
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+DESCRIPTOR_RULES = [
+    (r"[^\x00-\x7F]+", " "),
+    (r"\.(COM|IN|CO|NET)\b", " "),
+    (r"^(SQ|TST|PAYPAL|PP|SP|GOOGLE|APL)\s*\*+\s*", ""),
+    (r"\b\d{10}\b", " "),
+    (r"\b(NY|CA|DL|HR|KA|MH)\s*$", " "),
+    (r"[#]?\s*\d{3,6}\s*$", " "),
+    (r"\s+", " "),
+]
+FX = "SELECT * FROM (VALUES ('INR', 1.0::DOUBLE), ('USD', 83.25::DOUBLE), ('EUR', 90.5::DOUBLE), ('GBP', 105.75::DOUBLE)) t(currency, rate_to_inr)"
+MCC_MAP = """SELECT CAST(code AS VARCHAR) AS mcc, 'Category ' || lpad(CAST(code % 100 AS VARCHAR), 2, '0') AS category,
+  ['Food', 'Retail', 'Travel', 'Home', 'Services'][code % 5 + 1] AS category_group FROM range(5000, 5060) t(code) WHERE code NOT IN (5021, 5033)"""
+MERCHANTS = """SELECT 'M' || substr(md5(n), 1, 8) AS merchant_id, n AS canonical_name, unnest([upper(n), upper(n) || ' INDIA', 'THE ' || upper(n)]) AS alias,
+  CAST(5000 + length(n) % 60 AS VARCHAR) AS mcc, 'Category ' || lpad(CAST(length(n) % 60 AS VARCHAR), 2, '0') AS category FROM (SELECT DISTINCT p_name AS n FROM part)"""
+
 
 def _list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -20,12 +38,12 @@ def amount(x: str) -> str:
 def stamp(x: str) -> str:
     formats = ["%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M", "%m-%d-%Y %H:%M:%S", "%d %b %Y %H:%M", "%Y%m%dT%H%M%S"]
     tried = ", ".join(f"try_strptime({x}, '{f}')" for f in formats)
-    return f"coalesce({tried}, CASE WHEN try_cast({x} AS DOUBLE) > {c.LEAST_EPOCH} THEN make_timestamp(CAST(try_cast({x} AS DOUBLE) * 1000000 AS BIGINT)) END)"
+    return f"coalesce({tried}, CASE WHEN try_cast({x} AS DOUBLE) > {LEAST_EPOCH} THEN make_timestamp(CAST(try_cast({x} AS DOUBLE) * 1000000 AS BIGINT)) END)"
 
 
 def descriptor(x: str) -> str:
     out = f"trim(upper(coalesce({x}, '')))"
-    for pattern, by in c.DESCRIPTOR_RULES:
+    for pattern, by in DESCRIPTOR_RULES:
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return f"trim({out})"
 
@@ -58,16 +76,16 @@ _FACT = "transaction_id, account_id, merchant_id, CAST(txn_timestamp AS DATE) AS
 #: Name and query of each step; a later one may use all earlier ones.
 STEPS = [
     ("raw_rows", transactions.ORACLE),
-    ("merchants", reference.SQL["merchants"]),
-    ("fx", reference.SQL["fx"]),
-    ("mcc_map", reference.SQL["mcc_map"]),
-    ("ingested", "SELECT " + ", ".join(f"CASE WHEN {x} IS NULL OR {x} IN ({_list(transactions.MISSING)}) THEN '' ELSE {x} END AS {x}" for x in COLUMNS) + " FROM raw_rows"),
+    ("merchants", MERCHANTS),
+    ("fx", FX),
+    ("mcc_map", MCC_MAP),
+    ("ingested", "SELECT " + ", ".join(f"CASE WHEN {x} IS NULL OR {x} IN ({_list(MISSING)}) THEN '' ELSE {x} END AS {x}" for x in COLUMNS) + " FROM raw_rows"),
     ("bronze", f"SELECT *, {reasons(BRONZE)} AS reject_reason FROM ingested"),
     ("parsed0", f"SELECT * EXCLUDE (reject_reason) REPLACE ({stamp('txn_timestamp')} AS txn_timestamp, {amount('amount')} AS amount), amount AS amount_original, currency AS currency_original FROM bronze WHERE reject_reason IS NULL"),
     ("parsed", "SELECT *, nullif(concat_ws(' | ', CASE WHEN txn_timestamp IS NULL THEN 'unparseable_date' END, CASE WHEN amount IS NULL THEN 'unparseable_amount' END), '') AS reject_reason FROM parsed0"),
     ("priced", f"SELECT p.*, round_even(amount * coalesce(rate_to_inr, 1.0) * 100, 0) / 100 AS amount_inr FROM (SELECT * EXCLUDE (reject_reason), {currency()} AS currency_inferred FROM parsed WHERE reject_reason IS NULL) p LEFT JOIN fx ON fx.currency = p.currency_inferred"),
     ("located", "SELECT p.*, coalesce(n.n_name, p.city, '') AS city_canonical FROM priced p LEFT JOIN (SELECT DISTINCT n_name FROM nation) n ON lower(n.n_name) = lower(trim(coalesce(p.city, '')))"),
-    ("sentinel", "SELECT * REPLACE (" + ", ".join(f"CASE WHEN trim({x}) IN ({_list(c.SENTINELS)}) THEN NULL ELSE {x} END AS {x}" for x in _TEXTS) + ") FROM located"),
+    ("sentinel", "SELECT * REPLACE (" + ", ".join(f"CASE WHEN trim({x}) IN ({_list(SENTINELS)}) THEN NULL ELSE {x} END AS {x}" for x in _TEXTS) + ") FROM located"),
     ("named", f"SELECT *, {descriptor('merchant_descriptor')} AS descriptor_clean FROM sentinel"),
     ("resolved", """SELECT n.*, m.merchant_id, CASE WHEN m.merchant_id IS NOT NULL THEN m.canonical_name WHEN descriptor_clean <> '' THEN descriptor_clean END AS merchant_name,
         CASE WHEN m.merchant_id IS NOT NULL THEN 'exact' WHEN descriptor_clean <> '' THEN 'unresolved' END AS match_method, CASE WHEN m.merchant_id IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS match_confidence
@@ -93,6 +111,19 @@ STEPS = [
 ]
 
 
+def similar(pairs: str, least: float) -> str:
+    """Of `pairs` (s, c) each s with the c of the largest ratio, at least `least`, of equals the first: the longest common
+    subsequence letter by letter, as each row of its table is the running maximum of what the row before allows."""
+    return f"""WITH RECURSIVE pairs AS ({pairs}),
+    dp AS (
+      SELECT s, c, 0 AS k, list_transform(range(0, length(c) + 1), lambda x: 0) AS row FROM pairs
+      UNION ALL
+      SELECT s, c, k + 1, list_transform(range(1, length(c) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], CASE WHEN i > 1 AND lower(c)[i - 1] = s[k + 1] THEN row[i - 1] + 1 ELSE 0 END))))
+      FROM dp WHERE k < length(s)
+    ), scored AS (SELECT s, c, 200.0 * row[length(c) + 1] / (length(s) + length(c)) AS score FROM dp WHERE k = length(s))
+    SELECT s AS spelling, arg_min(c, (-score, c)) AS best FROM scored WHERE score >= {least} GROUP BY s"""
+
+
 def sql(query: str) -> str:
     """`query` after as many of the steps as it needs."""
     import re

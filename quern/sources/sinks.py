@@ -9,9 +9,12 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    """A managed table, replaced as a whole."""
-    df.write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, path: str) -> DataFrame:
+    """A table over Parquet files under `path`, replaced as a whole, and read back."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.catalog.createTable(name, path, "parquet")
 
 
 def save_view(df: DataFrame, name: str) -> DataFrame:

@@ -72,7 +72,7 @@ def _sql(duck: bool) -> str:
           WHEN 5 THEN '₹ ' || f WHEN 6 THEN ' ' || plain ELSE f END END AS amount,
       CASE WHEN {H['cur']} % 7 = 0 THEN '' WHEN {H['cur']} % 8 = 1 THEN 'USD' WHEN {H['cur']} % 97 = 2 THEN 'XXX' ELSE 'INR' END AS currency,
       CASE WHEN {H['desc']} < 5 THEN replace(m, ' ', ',') WHEN {H['desc']} < 20 THEN '' WHEN {H['desc']} < 60 THEN 'ORBIT CAFE ' || {letter} || {letter}
-        ELSE CASE {H['desc']} % 9 WHEN 0 THEN m WHEN 1 THEN 'SQ *' || m WHEN 2 THEN m || ' #' || {text('100 + k % 900')} WHEN 3 THEN lower(m)
+        ELSE CASE {H['desc']} % 9 WHEN 0 THEN 'the ' || m WHEN 1 THEN 'SQ *' || m WHEN 2 THEN m || ' #' || {text('100 + k % 900')} WHEN 3 THEN lower(m) || ' india'
           WHEN 4 THEN m || '.COM' WHEN 5 THEN 'PAYPAL *' || m || ' NY' WHEN 6 THEN m || ' 9' || lpad({text('k % 1000000000')}, 9, '0')
           WHEN 7 THEN m || ' KA' ELSE substr(m, 1, 2) || substr(m, 4) END END AS merchant_descriptor,
       CASE WHEN {H['mcc']} % 4 = 0 THEN CASE {whole(H['mcc'], 4)} % 4 WHEN 0 THEN '' WHEN 1 THEN '0000' WHEN 2 THEN 'NA' ELSE 'N/A' END
