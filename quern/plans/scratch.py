@@ -51,9 +51,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def clear(since: int = 0) -> None:
-    """Deletes what this driver wrote by `cut` and `new_path`, but for the first `since` paths (see `mark`)."""
-    while len(_written) > since:
+def written() -> list[tuple[SparkSession, str]]:
+    """What this driver has written by `cut` and `new_path` and not deleted yet, in order."""
+    return list(_written)
+
+
+def drop(paths: list[tuple[SparkSession, str]]) -> None:
+    """Deletes some of what `written` names."""
+    for spark, path in paths:
+        if (spark, path) in _written:
+            _written.remove((spark, path))
+            remove(spark, path)
+
+
+def clear() -> None:
+    """Deletes all that this driver wrote by `cut` and `new_path`."""
+    while _written:
         spark, path = _written.pop()
         try:
             remove(spark, path)
@@ -61,11 +74,6 @@ def clear(since: int = 0) -> None:
             continue
 
 
-def mark() -> int:
-    """How many paths have been written so far: what `clear` can later leave alone."""
-    return len(_written)
-
-
 atexit.register(clear)
 
 
