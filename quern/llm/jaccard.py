@@ -40,7 +40,8 @@ SKETCH_BITS = 22
 SMALL = 24  # members of a posting list of which all pairs are compared at once
 HUBS = 16  # of a frequent shingle in the second round
 GROWTH = 64  # of the hubs in each round after
-SALTS = 64  # tasks that a frequent shingle is dealt to
+HOT = 10_000  # sets of a shingle that one task meets
+SALTS = 64  # tasks that a more frequent shingle is dealt to
 HELD = 200_000  # postings that a task holds at once
 DEALT = 2_000_000  # shingles for one partition of postings
 BROADCAST_ROWS = 1_000_000
@@ -227,12 +228,20 @@ def _short_lists(percent: int):
 
 
 def _met(heavy: DataFrame, hubs: DataFrame, by: list[str]) -> DataFrame:
-    """`heavy` and `hubs` joined on `by`, of which g may be of any number of rows of `heavy`."""
+    """`heavy` and `hubs` joined on `by`; `hubs` has many, the number of rows that heavy has of its g. Where the hubs are
+    too many for a broadcast, those of shingles beyond HOT rows are few, and are broadcast or salted by themselves."""
     hubs = scratch.cut(hubs, "hubs")
     if scratch.fits(hubs, BROADCAST_ROWS):
-        return heavy.join(F.broadcast(hubs), by)
-    dealt = heavy.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int"))
-    return dealt.join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "salt"]).drop("salt")
+        return heavy.join(F.broadcast(hubs), by).drop("many")
+    hot, cold = hubs.where(F.col("many") > HOT), hubs.where(F.col("many") <= HOT)
+    names = scratch.small(scratch.cut(hot.select("g").distinct(), "hot"), BROADCAST_ROWS)
+    rest = heavy.join(names, "g", "left_anti").join(cold, by)
+    if scratch.fits(hot, BROADCAST_ROWS):
+        met = heavy.join(F.broadcast(hot), by)
+    else:
+        dealt = heavy.join(names, "g", "left_semi").withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int"))
+        met = dealt.join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "salt"]).drop("salt")
+    return rest.unionByName(met).drop("many")
 
 
 def _promising(pairs: DataFrame, shared: DataFrame, often: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -376,8 +385,8 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     often = scratch.cut(members.groupBy("s").agg(F.max("nf").alias("nf"), F.count_if(~F.col("f")).alias("long")), "often")
     heavy = scratch.cut(members.select("g", "s", "n", "pos").join(classes.select(F.col("s").alias("x"), "bits"), F.col("s") == F.col("x")).drop("x"), "heavy")
     # edits bring rare shingles, which come first: a text that others were copied from has the smallest position
-    hubs = heavy.groupBy("g").agg(F.min(F.struct("pos", "s", "n", "bits")).alias("at"), F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("g", F.col("at.s").alias("hub"), F.col("at.n").alias("n2"), F.col("at.pos").alias("pos2"), F.col("at.bits").alias("bits2"))
+    hubs = heavy.groupBy("g").agg(F.min(F.struct("pos", "s", "n", "bits")).alias("at"), F.count("*").alias("many")).where("many > 1")
+    hubs = hubs.select("g", "many", F.col("at.s").alias("hub"), F.col("at.n").alias("n2"), F.col("at.pos").alias("pos2"), F.col("at.bits").alias("bits2"))
     stars = _met(heavy, hubs, ["g"]).where((F.col("s") != F.col("hub")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)).select(F.col("hub").alias("a"), F.col("s").alias("b"))
     shared = lists.where("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("shared"), F.max("nf").alias("both_nf"))
     shared = scratch.cut(shared, "shared")
@@ -399,7 +408,7 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
         band = lambda n: F.floor(F.log(n) / math.log(100 / percent)).cast("int")
         most_n = F.least(F.floor(100 * F.col("n2") / percent), F.floor(((100 + percent) * (F.col("n2") - F.col("pos2") + needed(F.col("n2")) - 1) - percent * F.col("n2")) / percent))
         least_n = F.ceil(percent * F.col("n2") / 100)
-        chosen = chosen.select("g", F.col("s").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("bits").alias("bits2"), F.col("root").alias("root2"))
+        chosen = chosen.select("g", F.col("size").alias("many"), F.col("s").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("bits").alias("bits2"), F.col("root").alias("root2"))
         chosen = chosen.where(least_n <= most_n).select("*", F.explode_outer(F.sequence(band(least_n), band(most_n))).alias("band"))
         heavy = heavy.withColumn("band", band(F.col("n")))
         new = _met(heavy, chosen, ["g", "band"]).where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
