@@ -7,7 +7,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from quern.llm import catalog, urls, warc
+from pyspark.sql import functions as F
+
+from quern.llm import catalog, oracles, urls, warc
 
 
 def plain_models(labelled):
@@ -62,6 +64,48 @@ def test_rules(spark):
     assert only.verdict == "allow" and urls.judge(spark.createDataFrame([], "page_id long, url string"), catalog.RULES).count() == 0
 
 
+def test_verdicts_equal_the_plain_threshold(spark):
+    rng = random.Random(5)
+    rows = [(i, f"http://{rng.choice(['good', 'fine', 'news'])}{rng.randrange(40)}.com/{rng.choice(['a', 'b'])}") for i in range(90)]
+    rows += [(100 + i, f"http://{rng.choice(['cheap', 'pills', 'bets'])}{rng.randrange(40)}.net/{rng.choice(['es', 'fr'])}/x") for i in range(90)]
+    rows += [(200 + i, f"http://{rng.choice(['good', 'pills', 'bets', 'fine', 'odd'])}{rng.randrange(90)}.org/{i}") for i in range(40)]
+    rows += [(300, None), (301, ""), (302, "x" * 100_000), (303, "http://new\nline.org/a\nb"), rows[0], rows[0], rows[205]]
+    judged = urls.judge(spark.createDataFrame([(*r, "old", 1) for r in rows], "page_id long, url string, verdict string, n int"), catalog.RULES)
+    assert judged.columns == ["page_id", "url", "n", "host", "path", "rule", "verdict", "score"] and judged.count() == len(rows)
+    text = lambda u: (u or "").partition("://")[2].lower() if "://" in (u or "") else (u or "").lower()
+    got = judged.collect()
+    held = {r.s for r in spark.createDataFrame([(text(u),) for _, u in rows], "s string").where("pmod(xxhash64(s), 5) = 0").collect()}
+    labelled = [(text(r.url), r.verdict == "allow") for r in got if r.rule]
+    models = plain_models([x for x in labelled if x[0] not in held])
+
+    def score(t):
+        padded = urls.BEGIN * urls.ORDER + t + urls.END
+        return sum(math.log(models[True](padded[i], padded[i - urls.ORDER : i]) / models[False](padded[i], padded[i - urls.ORDER : i])) for i in range(urls.ORDER, len(padded))) / (len(t) + 1)
+
+    tried = [(math.floor(score(t) / urls.BIN), ok) for t, ok in labelled if t in held]
+    good, bad = sum(ok for _, ok in tried), sum(not ok for _, ok in tried)
+    cuts = {b for b, _ in tried} | {b + 1 for b, _ in tried}
+    balance = lambda c: round(sum(ok for b, ok in tried if b >= c) / good + sum(not ok for b, ok in tried if b < c) / bad, 9)
+    cut = max(sorted(cuts), key=lambda c: (balance(c), -abs(c))) * urls.BIN
+    for r in got:
+        if not r.rule and len(r.url or "") < 1000:
+            assert abs(r.score - score(text(r.url))) < 1e-9 and r.verdict == ("allow" if r.score >= cut else "block")
+    assert balance(round(cut / urls.BIN)) > 1.6
+
+
+def test_rules_equal_the_sql(spark):
+    from tests.llm import plain
+
+    rng = random.Random(8)
+    parts = ["http://", "://", "ftp:", "com", "net", "example.com", "www.example.com", "a.", ".", "/", "en/", "/es/", "/fr/x", "?q", "#", "É", "\n", " "]
+    given = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))) for i in range(600)] + [(900, None)]
+    host, path = urls.host_path(F.col("url"))
+    rows = spark.createDataFrame(given, "page_id long, url string").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = urls.rule_of(F.col("host"), F.col("path"), catalog.RULES)
+    got = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    assert sorted((tuple(sorted(r.asDict().items())) for r in got.collect()), key=repr) == plain.by_sql(oracles.URL_RULES, pages=(("page_id", "url"), given))
+
+
 def digest(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
