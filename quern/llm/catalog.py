@@ -20,6 +20,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that rules decide, which SQL can express."""
+    host, path = urls.host_path(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = urls.rule_of(F.col("host"), F.col("path"), RULES)
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -82,6 +90,7 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
+    "url_rules": url_rules,
 }
 ORACLE = {
     "op4_warc": oracles.OP4,
@@ -90,4 +99,5 @@ ORACLE = {
     "op8_quality_rules": oracles.OP8,
     "op9_ngram_jaccard": oracles.OP9,
     "op10_line_dedup": oracles.OP10,
+    "url_rules": oracles.URL_RULES,
 }

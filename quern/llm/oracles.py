@@ -151,3 +151,13 @@ win AS MATERIALIZED (
 SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, CAST(min(start) AS BIGINT) AS "start", count(*) AS n_windows
 FROM (SELECT * FROM alike WHERE similarity >= 0.8 UNION ALL SELECT * FROM brief) GROUP BY doc_id, item_id
 """
+
+#: Host, path and rule of each page, and the rule's verdict.
+URL_RULES = r"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT rule, verdict, split_part(rule, '/', 1) AS suffix, substr(rule, instr(rule, '/')) AS start
+  FROM (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')) t(rule, verdict))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+FROM h LEFT JOIN r ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start) GROUP BY ALL
+"""

@@ -94,7 +94,7 @@ def _mixed(count: str, n: str, t: str, below: str) -> Column:
 
 def score(urls: DataFrame, weights: DataFrame) -> DataFrame:
     """Columns s, score: the log-likelihood difference of each distinct s, divided by its characters and end mark."""
-    weights = F.broadcast(weights) if scratch.fits(weights, BROADCAST_ROWS) else weights
+    weights = scratch.small(weights, BROADCAST_ROWS)
     sums = _grams(urls.select("s"), "s").join(weights, "g").groupBy("s").agg(F.sum("w").alias("sum"))
     return sums.select("s", (F.col("sum") / (F.length("s") + 1)).alias("score"))
 
@@ -116,13 +116,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> D
 
     A null or empty URL has an empty host and path, and no rule can fit it; the models judge it as the empty text.
     Where rules accept no URL or reject none, there is nothing to learn and the rest is allowed. Repeated rows
-    each get the same verdict, and each counts in the models. Columns of those names in the input are replaced.
+    each get the same verdict, and each counts in the models. URLs of any length are judged whole; an empty table gives
+    an empty one. Columns of those names in the input are replaced.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
     host, path = host_path(F.col(url))
     base = pages.select(*[pages[c] for c in kept], host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    text = F.lower(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^.*?://", ""))
+    whole = F.coalesce(F.col(url), F.lit(""))
+    text = F.lower(F.substring(whole, F.when(F.locate("://", whole) > 0, F.locate("://", whole) + 3).otherwise(1), F.length(whole)))
     base = base.select("*", rule.alias("rule"), verdict.alias("__q_by"), text.alias("__q_s"))
 
     urls = base.groupBy(F.col("__q_s").alias("s"), (F.col("__q_by") == "allow").alias("ok")).agg(F.count("*").alias("n"))
