@@ -202,3 +202,13 @@ def test_generator_and_conservation(spark, tmp_path):
     assert both.where("merchant_id = true_id").count() / both.count() > 0.85
     silver.write(spark, got, f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out/silver").count() == got.silver.count()
+
+
+def test_amounts_row_by_row_agree(spark):
+    rows = ["1,234.50", "(12.5)", "₹ 7", "$3", "-999", "", None, "abc", "5 ₹", "(1,0.5)"]
+    df = spark.createDataFrame([(r,) for r in rows], "amount string")
+    told = metrics.amount_benchmark(df, 1)
+    assert told["rows"] == len(rows) and told["expression_seconds"] > 0
+    from quern.functions import cleaning
+
+    assert [r[0] for r in df.select(cleaning.parse_amount(F.col("amount"))).collect()] == [metrics._plain_amount(r) for r in rows]
