@@ -97,6 +97,8 @@ def base_spans(text):
 
 
 def entity(kind, value):
+    if kind == 4:
+        return kind, value
     if kind == 0:
         return kind, value.lower()
     if kind == 1:
@@ -105,42 +107,46 @@ def entity(kind, value):
 
 
 def told(rows, prior=20.0, remove=0.8, generalise=0.5, unit=1 << 20):
-    """For each row the spans (start, end, action) of the terms that disclose a class, and the disclosures of all terms."""
+    """For each row the spans (start, end, action) of keys and of the terms that disclose a class, and the disclosures of
+    all terms."""
     import math
 
     import regex
 
     rows = [(d, t or "") for d, t in rows]
-    base = [base_spans(t) for _, t in rows]
+    key = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{20,}"
+    keys = [[(m.start(), m.end(), "remove") for m in re.finditer(key, t)] for _, t in rows]
+    base = [base_spans(t) + [(s, 4, e) for s, e, _ in k] for (_, t), k in zip(rows, keys, strict=True)]
     held = [{entity(k, t[s:e]) for s, k, e in found} for (_, t), found in zip(rows, base, strict=True)]
     df = {}
     for names in held:
         for e in names:
             df[e] = df.get(e, 0) + 1
-    weights = [[max([unit // df[e] for e in names if k in (e[0], None)] or [0]) for k in (0, 1, 2, 3)] for names in held]
+    weights = [[max([unit // df[e] for e in names if k in (e[0], None)] or [0]) for k in range(5)] for names in held]
     weights = [[*w, max(w)] for w in weights]
-    shares = [sum(w[k] for w in weights) / unit / len(rows) for k in range(5)]
+    shares = [sum(w[k] for w in weights) / unit / len(rows) for k in range(6)]
     word = regex.compile(r"\p{L}+")
     email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
     counts = {}
     for (_, t), w in zip(rows, weights, strict=True):
-        for term in {x.lower() for x in word.findall(re.sub(email, " ", t)) if len(x) >= 4}:
-            n = counts.setdefault(term, [0] * 6)
-            n[5] += 1
-            for k in range(5):
+        for term in {x.lower() for x in word.findall(re.sub(key, " ", re.sub(email, " ", t))) if len(x) >= 4}:
+            n = counts.setdefault(term, [0] * 7)
+            n[6] += 1
+            for k in range(6):
                 n[k] += w[k]
     disclosure = {}
     for term, n in counts.items():
         best = 0.0
         for k, p in enumerate(shares):
             if 0 < p < 1:
-                given = (max(n[k] / unit - 1, 0) + prior * p) / (n[5] - 1 + prior)
+                given = (max(n[k] / unit - 1, 0) + prior * p) / (n[6] - 1 + prior)
                 best = max(best, math.log(given / p) / -math.log(p))
         disclosure[term] = best
     spans = []
-    for (_, t), found in zip(rows, base, strict=True):
+    for (_, t), found, own in zip(rows, base, keys, strict=True):
         terms = [(m.start(), m.end(), disclosure.get(m.group().lower(), 0)) for m in word.finditer(t) if len(m.group()) >= 4]
-        spans.append([(s, e, "remove" if x >= remove else "generalise") for s, e, x in terms if x >= generalise and not any(a < e and b > s for a, _, b in found)])
+        free = [(s, e, "remove" if x >= remove else "generalise") for s, e, x in terms if x >= generalise and not any(a < e and b > s for a, _, b in found)]
+        spans.append(sorted(own + free))
     return spans, disclosure
 
 
