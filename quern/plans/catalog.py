@@ -252,7 +252,7 @@ query("jon_5", "SELECT r.transaction_id, mode_mcc FROM resolved r JOIN modes ON
 query("jon_6")(lambda s, d: resolve.similar(after(s, d, "resolved").where("match_method = 'unresolved'").select("descriptor_clean").distinct(), reference.merchants(s, d)))
 query("jon_7", "SELECT * FROM (" + oracle.similar("SELECT DISTINCT lower(trim(coalesce(city, ''))) AS s, n_name AS c FROM priced, nation WHERE trim(coalesce(city, '')) <> ''", 80) + ")")(lambda s, d: clean.similar_cities(after(s, d, "priced").select(F.lower(c.strip(F.col("city"))).alias("spelling")).where("spelling <> ''").distinct(), sorted(r[0] for r in reference.cities(s, d).collect())))
 query("jon_8", "SELECT transaction_id FROM bronze WHERE reject_reason IS NULL")(lambda s, d: contracts.passed(build(s, d).bronze).select("transaction_id"))
-query("jon_9")(lambda s, d: cluster.neighbours(after(s, d, "resolved").where("match_method = 'unresolved'").select("descriptor_clean").distinct(), "descriptor_clean"))
+query("jon_9", f"SELECT * FROM ({oracle.ALIKE} SELECT a, b FROM alike)")(lambda s, d: cluster.neighbours(after(s, d, "resolved").where("match_method = 'unresolved'").select("descriptor_clean").distinct(), "descriptor_clean"))
 query("jon_10", "SELECT transaction_id, city_canonical FROM located")(lambda s, d: clean.cities(after(s, d, "priced"), reference.cities(s, d), fuzzy=False).select("transaction_id", "city_canonical"))
 
 # --- aggregates --------------------------------------------------------------------------------------------------
@@ -272,7 +272,7 @@ query("agg_6", "SELECT count(DISTINCT raw_descriptor) AS descriptors, count(DIST
 query("agg_7", "SELECT count(*) AS total, count(*) FILTER (mcc_imputed_flag) AS imputed, count(*) FILTER (is_near_duplicate) AS near FROM fct")(lambda s, d: star(s, d)[0].agg(F.count("*").alias("total"), F.count_if("mcc_imputed_flag").alias("imputed"), F.count_if("is_near_duplicate").alias("near")))
 query("agg_8", "SELECT * FROM dim_account")(lambda s, d: gold.dim_account(build(s, d).silver))
 query("agg_9", "SELECT mode_id AS merchant_id, mode_mcc AS mcc FROM modes")(lambda s, d: after(s, d, "resolved").where(~c.mcc_missing(F.col("mcc")) & F.col("merchant_id").isNotNull()).groupBy("merchant_id").agg(F.mode("mcc", True).alias("mcc")))
-query("agg_10")(lambda s, d: (left := after(s, d, "resolved").where("match_method = 'unresolved'").groupBy("descriptor_clean").agg(F.count("*").alias("n"))) and resolve._heads(cluster.density_clusters(left, "descriptor_clean"), left))
+query("agg_10", f"SELECT * FROM ({oracle.CLUSTER_HEADS})")(lambda s, d: (left := after(s, d, "resolved").where("match_method = 'unresolved'").groupBy("descriptor_clean").agg(F.count("*").alias("n"))) and resolve._heads(cluster.density_clusters(left, "descriptor_clean"), left))
 query("agg_11", "SELECT g AS mcc, mid, mad FROM spreads")(
     lambda s, d: (rows := build(s, d).checked.where("amount_inr > 0 AND mcc IS NOT NULL")).join(rows.groupBy(F.col("mcc").alias("g")).agg(F.median("amount_inr").alias("mid")), F.col("mcc") == F.col("g")).groupBy("mcc").agg(F.first("mid").alias("mid"), F.median(F.abs(F.col("amount_inr") - F.col("mid"))).alias("mad"))
 )

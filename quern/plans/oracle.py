@@ -124,6 +124,29 @@ def similar(pairs: str, least: float) -> str:
     SELECT s AS spelling, arg_min(c, (-score, c)) AS best FROM scored WHERE score >= {least} GROUP BY s"""
 
 
+#: Texts without a merchant, and the pairs of them at a cosine of 0.65 or more, all compared that share a gram.
+ALIKE = r"""WITH RECURSIVE t AS (SELECT descriptor_clean AS doc, count(*) AS n FROM resolved WHERE match_method = 'unresolved' GROUP BY 1),
+  w AS (SELECT doc, ' ' || unnest(regexp_split_to_array(lower(trim(doc)), '\s+')) || ' ' AS w FROM t),
+  g AS (SELECT doc, unnest(list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)),
+      CASE WHEN length(w) > 2 THEN list_transform(range(1, greatest(length(w) - 1, 2)), lambda i: substr(w, i, 3)) ELSE [] END,
+      CASE WHEN length(w) > 3 THEN list_transform(range(1, greatest(length(w) - 2, 2)), lambda i: substr(w, i, 4)) ELSE [] END)) AS g FROM w),
+  tf AS (SELECT doc, g, count(*) AS tf FROM g GROUP BY ALL),
+  x AS (SELECT doc, g, tf * (ln((1 + (SELECT count(*) FROM t)) / (1 + count(*) OVER (PARTITION BY g))) + 1) AS x FROM tf),
+  v AS MATERIALIZED (SELECT doc, g, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS v FROM x),
+  alike AS MATERIALIZED (SELECT a.doc AS a, b.doc AS b FROM v a JOIN v b USING (g) WHERE a.doc <> b.doc GROUP BY 1, 2 HAVING sum(a.v * b.v) >= 0.65 - 1e-12)"""
+CLUSTER_HEADS = (
+    ALIKE
+    + """,
+  core AS (SELECT a AS core FROM alike GROUP BY a HAVING count(*) + 1 >= 3),
+  link AS (SELECT a, b FROM alike WHERE a IN (SELECT core FROM core) AND b IN (SELECT core FROM core)),
+  reach AS (SELECT core AS id, core AS root FROM core UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id AND reach.root < link.b),
+  rooted AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+  border AS (SELECT a, min(b) AS nearest FROM alike WHERE a NOT IN (SELECT core FROM core) AND b IN (SELECT core FROM core) GROUP BY a),
+  member AS (SELECT id AS doc, root FROM rooted UNION ALL SELECT a, root FROM border JOIN rooted ON id = nearest)
+  SELECT substr(sha256(root), 1, 10) AS cluster, arg_min(doc, (-n, doc)) AS merchant_name FROM member JOIN t USING (doc) GROUP BY root"""
+)
+
+
 def sql(query: str) -> str:
     """`query` after as many of the steps as it needs."""
     import re
