@@ -6,8 +6,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+BATCH_BYTES = 1 << 22
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def modest(df: DataFrame) -> DataFrame:
+    """`df`. From now on the Arrow batches of its session hold about BATCH_BYTES, unless the session sets another size: ten
+    thousand rows of long texts are too many for a worker and its executor."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df
 
 
 def texts(column: pa.Array) -> Iterator[str]:

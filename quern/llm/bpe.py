@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -66,12 +66,13 @@ def blanks(text: str) -> Iterator[tuple[str, bool]]:
         yield text[at:], False
 
 
-def encode(text: str, tokenizer, whole) -> np.ndarray:
-    """The ids of a text as little-endian unsigned 32-bit integers; `whole` takes any run of white space as one match."""
+def encode(text: str, tokenizer, whole: Callable) -> np.ndarray:
+    """The ids of a text as little-endian unsigned 32-bit integers; `whole` gives a tokenizer that takes any run of
+    white space as one match."""
     parts = []
     for part, blank in blanks(text):
         if blank:
-            parts.append(whole.encode_to_numpy(part, disallowed_special=()))
+            parts.append(whole().encode_to_numpy(part, disallowed_special=()))
         else:
             parts += [tokenizer.encode_to_numpy(x, disallowed_special=()) for x in pieces(part)]
     return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u4", copy=False)
@@ -92,7 +93,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
     schema = T.StructType([*source.schema.fields, *added])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, whole = encoding(rank_file, pattern), encoding(rank_file, r"\s+")
+        tokenizer, whole = encoding(rank_file, pattern), lambda: encoding(rank_file, r"\s+")
         for batch in arrows.slices(batches, text):
             sizes, ids, decoded, same = [], [], [], []
             for value, raw in zip(arrows.texts(batch.column(text)), batch.column(text).cast(pa.large_binary()), strict=True):
@@ -105,7 +106,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
             new = [pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return source.mapInArrow(work, schema)
+    return arrows.modest(source).mapInArrow(work, schema)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids_le", out: str = "decoded") -> DataFrame:
@@ -119,4 +120,4 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids_le"
             back = [tokenizer.decode_bytes(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*kept, out])
 
-    return source.mapInArrow(work, T.StructType([*source.schema.fields, T.StructField(out, T.BinaryType())]))
+    return arrows.modest(source).mapInArrow(work, T.StructType([*source.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -83,7 +83,7 @@ def _signatures(docs: DataFrame, doc: str, text: str) -> DataFrame:
             nothing = pa.nulls(len(full), ids.type)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(full), np.int32)), nothing, pa.array(sketch[full].astype(np.int64)), pa.array(full.astype(np.int64)), pa.array(np.zeros(len(full), np.int64)), _bits([np.zeros(len(full), np.uint64)] * 4)], names=schema.names)
 
-    return docs.select(docs[doc].alias(doc), docs[text].alias(text)).mapInArrow(work, schema)
+    return arrows.modest(docs.select(docs[doc].alias(doc), docs[text].alias(text))).mapInArrow(work, schema)
 
 
 def _frequencies(signatures: DataFrame) -> np.ndarray:
@@ -119,7 +119,7 @@ def _postings(docs: DataFrame, doc: str, text: str, seed: int, classes, percent:
             g, f, d, pos = g[keep], f[keep], d[keep], pos[keep]
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(s[d]), *(pa.array(x.astype(np.int32)) for x in (n[d], pos)), pa.array(f), pa.array(nf[d].astype(np.int32))], names=["g", "s", "n", "pos", "f", "nf"])
 
-    return docs.select(docs[doc], docs[text]).mapInArrow(work, "g long, s long, n int, pos int, f boolean, nf int")
+    return arrows.modest(docs.select(docs[doc], docs[text])).mapInArrow(work, "g long, s long, n int, pos int, f boolean, nf int")
 
 
 def _sets(docs: DataFrame, doc: str, text: str, seed: int, classes) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, doc: str, text: str, seed: int, classes) -> DataFrame
             segs = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(s[d[new]]), pa.array(part[new].astype(np.int32)), segs], names=["s", "part", "seg"])
 
-    return docs.select(docs[doc], docs[text]).mapInArrow(work, "s long, part int, seg array<long>")
+    return arrows.modest(docs.select(docs[doc], docs[text])).mapInArrow(work, "s long, part int, seg array<long>")
 
 
 def _may_link(n: Column, pos: Column, n2: Column, pos2: Column, percent: int) -> Column:
@@ -380,7 +380,7 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     total = classes.agg(F.sum("n")).first()[0] or 0
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / DEALT))
     dealt = postings.repartition(width, F.when(F.col("f"), F.xxhash64("g", "s")).otherwise(F.col("g")))
-    lists = scratch.cut(dealt.sortWithinPartitions("g", "s").mapInArrow(_short_lists(percent), "a long, b long, g long, n int, pos int, nf int, f boolean"), "lists")
+    lists = scratch.cut(arrows.modest(dealt).sortWithinPartitions("g", "s").mapInArrow(_short_lists(percent), "a long, b long, g long, n int, pos int, nf int, f boolean"), "lists")
     members = scratch.cut(lists.where("b IS NULL").select("g", F.col("a").alias("s"), "n", "pos", "nf", "f").distinct(), "members")
     often = scratch.cut(members.groupBy("s").agg(F.max("nf").alias("nf"), F.count_if(~F.col("f")).alias("long")), "often")
     heavy = scratch.cut(members.select("g", "s", "n", "pos").join(classes.select(F.col("s").alias("x"), "bits"), F.col("s") == F.col("x")).drop("x"), "heavy")
@@ -440,7 +440,7 @@ def _named(own: DataFrame, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_id(k1, k2, seed))], names=["doc", "n", "k1", "k2", "bits", "s"])
 
     source = own.select("doc", "n", "k1", "k2", "bits")
-    return source.mapInArrow(work, T.StructType([*source.schema.fields, T.StructField("s", T.LongType())]))
+    return arrows.modest(source).mapInArrow(work, T.StructType([*source.schema.fields, T.StructField("s", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, linked: DataFrame, doc: str = "doc_id") -> DataFrame:

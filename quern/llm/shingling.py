@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the base and of its inverse, n of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(b))]), dtype=np.uint64) for b in (_BASE, _BACK)]
     return _powers[0][:n], _powers[1][:n]
 

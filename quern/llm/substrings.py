@@ -56,7 +56,7 @@ def units(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str =
             ids = batch.column(doc).take(pa.array(index, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(first, pa.bool_())], names=out.names)
 
-    return docs.select(docs[doc], docs[text]).mapInArrow(work, out)
+    return arrows.modest(docs.select(docs[doc], docs[text])).mapInArrow(work, out)
 
 
 def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = 1) -> DataFrame:
@@ -100,4 +100,4 @@ def strip(docs: DataFrame, spans: DataFrame, doc: str = "doc_id", text: str = "t
             columns = [pa.array(out, pa.string()) if n == text else batch.column(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return both.mapInArrow(work, schema)
+    return arrows.modest(both).mapInArrow(work, schema)

@@ -111,7 +111,7 @@ def _places(keyed: DataFrame) -> DataFrame:
             at = pa.array(lines.text)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), pa.array(lines.leaf), pa.array(lines.key), sketch], names=schema.names)
 
-    return keyed.mapInArrow(work, schema)
+    return arrows.modest(keyed).mapInArrow(work, schema)
 
 
 def _tokens(keyed: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _tokens(keyed: DataFrame) -> DataFrame:
             numbers = [pa.array(k.astype(np.int32)) for k in (lines.pos, lines.n, *lines.probes())]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), pa.array(lines.leaf), pa.array(lines.key), pa.array(x), *numbers, toks], names=schema.names)
 
-    return keyed.mapInArrow(work, schema)
+    return arrows.modest(keyed).mapInArrow(work, schema)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def _unlike(pairs: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("a", "b"))
             yield batch.select(["keys"]).filter(pa.array(shingling.likeness(a, b) < COPY))
 
-    return pairs.mapInArrow(work, "keys array<long>").select(F.explode_outer("keys").alias("key"))
+    return arrows.modest(pairs).mapInArrow(work, "keys array<long>").select(F.explode_outer("keys").alias("key"))
 
 
 def recurring(found: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _without(docs: DataFrame, text: str) -> DataFrame:
                 column = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([column if n == text else batch.column(n) for n in schema.names], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return arrows.modest(docs).mapInArrow(work, schema)
 
 
 def drop_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", count: bool = False) -> DataFrame:

@@ -117,4 +117,4 @@ def count(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", mos
                 sums.append(total)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.int64()), pa.array(sums, pa.int64())], names=[*kept, "n_pretokens", "n_tokens"])
 
-    return source.mapInArrow(work, schema)
+    return arrows.modest(source).mapInArrow(work, schema)

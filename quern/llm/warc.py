@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import arrows
 from quern.plans import scratch
 
 VERSION = "WARC/1.1"
@@ -259,7 +260,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(work, schema)
+    return arrows.modest(files).mapInArrow(work, schema)
 
 
 def records(read_rows: DataFrame) -> DataFrame:
