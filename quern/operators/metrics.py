@@ -65,7 +65,7 @@ def profile(df: DataFrame) -> DataFrame:
 def amount_benchmark(raw: DataFrame, times: int = 3) -> dict[str, float]:
     """Seconds, rows a second and speed-up of the amount rules by expressions over those by a Python function a row, both
     over all of `raw` and the best of `times` runs."""
-    by_row = F.udf(_plain_amount, "double")
+    by_row = F.udf(_plain_amount, "double", useArrow=False)
 
     def best(column: Column) -> float:
         took = []
