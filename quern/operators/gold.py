@@ -94,12 +94,13 @@ def breaches(scores: DataFrame, least: float = 90.0) -> DataFrame:
     return scores.where(F.col("data_health_score") < least).withColumn("period", F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.lit(1)))
 
 
-def explore(fct: DataFrame, dim: DataFrame, least: float = 0.0, term: str | None = None, limit: int = 100) -> DataFrame:
+def explore(fct: DataFrame, dim: DataFrame, least: float = 0.0, term: str | None = None, limit: int | None = 100) -> DataFrame:
     """Resolved descriptors from a confidence on, whose raw text or merchant's name holds a term (LIKE's % and _ count),
-    with a band for the confidence; the first `limit` by id and category."""
+    with a band for the confidence; the first `limit` by id and category, or with None all of them in no order. A limit is
+    for a screen, as each task keeps so many rows in memory."""
     rows = fct.join(dim.select("merchant_id", "merchant_name", "mcc", "merchant_category"), "merchant_id").where(F.col("match_confidence") >= least)
     if term:
         like = f"%{term.lower()}%"
         rows = rows.where(F.lower("raw_descriptor").like(like) | F.lower("merchant_name").like(like))
     rows = rows.select("transaction_id", "raw_descriptor", "merchant_name", "mcc", "merchant_category", F.initcap("match_method").alias("match_method"), "match_confidence", confidence_band(F.col("match_confidence")).alias("band"))
-    return rows.orderBy("transaction_id", "mcc", "raw_descriptor").limit(limit)
+    return rows if limit is None else rows.orderBy("transaction_id", "mcc", "raw_descriptor").limit(limit)

@@ -233,7 +233,7 @@ query("flt_11", "SELECT count(*) AS total, count(*) FILTER (reject_reason IS NUL
 query("flt_12", "SELECT transaction_id FROM fct WHERE status = 'APPROVED' AND NOT is_outlier AND NOT is_near_duplicate")(lambda s, d: star(s, d)[0].where("status = 'APPROVED' AND NOT is_outlier AND NOT is_near_duplicate").select("transaction_id"))
 _EXPLORE = "SELECT f.transaction_id, raw_descriptor, m.merchant_name, m.mcc, m.merchant_category, upper(match_method[1]) || match_method[2:] AS match_method, match_confidence, CASE WHEN match_confidence >= 0.9 THEN 'High' WHEN match_confidence >= 0.5 THEN 'Medium' WHEN match_confidence > 0 THEN 'Low' ELSE 'Unresolved' END AS band FROM fct f JOIN dim_merchant m ON m.merchant_id = f.merchant_id WHERE match_confidence >= 0.5"
 query("flt_13", f"SELECT transaction_id, merchant_name, mcc FROM ({_EXPLORE} AND (lower(raw_descriptor) LIKE '%a%e%' OR lower(m.merchant_name) LIKE '%a%e%'))")(
-    lambda s, d: gold.explore(*star(s, d), least=0.5, term="a%e", limit=2_000_000_000).select("transaction_id", "merchant_name", "mcc")
+    lambda s, d: gold.explore(*star(s, d), least=0.5, term="a%e", limit=None).select("transaction_id", "merchant_name", "mcc")
 )
 query("flt_14", "SELECT count(*) AS n FROM raw_rows WHERE mcc IS NOT NULL AND mcc <> 'NA' AND mcc <> '' AND mcc <> '0000'")(lambda s, d: transactions.from_orders(s, d).where("mcc IS NOT NULL AND mcc <> 'NA' AND mcc <> '' AND mcc <> '0000'").agg(F.count("*").alias("n")))
 query("flt_15", "SELECT band, count(*) AS n FROM (SELECT CASE WHEN match_confidence >= 0.9 THEN 'High' WHEN match_confidence >= 0.5 THEN 'Medium' WHEN match_confidence > 0 THEN 'Low' ELSE 'Unresolved' END AS band FROM flagged) GROUP BY 1")(
