@@ -10,7 +10,8 @@ REMOVE for a class are removed, those beyond GENERALISE are replaced by a tag, i
 or not it names what they disclose.
 
 Three things keep the estimate sound. Values in all their formats are one entity, and documents that hold the same value
-share the weight of one document, so that copies of a page aren't evidence of their own. One document is taken off the
+share the weight of one document in all four counts (N, df_c, df_t and both), so that copies of a page are neither
+evidence of their own nor against what they hold; documents without a value weigh one each. One document is taken off the
 evidence for each pair, so that a document doesn't convict its own words. And p(c | t) is shrunk towards p(c) by PRIOR
 documents. No pair is left out, and all counts are sums that are partial before they are shuffled.
 
@@ -130,18 +131,19 @@ def words_of(docs: DataFrame, text: str) -> DataFrame:
     return long.select("id", "th", F.array_distinct("w").alias("w")).select("id", "th", F.transform("w", lambda w: F.lower(w)).alias("w")).select("id", "th", F.array_distinct("w").alias("w"))
 
 
-def disclosures(docs: DataFrame, text: str, weights: DataFrame, total: int, shares: list[float]) -> DataFrame:
+def disclosures(docs: DataFrame, text: str, weights: DataFrame, shares: list[float]) -> DataFrame:
     """term, disclosure (the largest of its classes) of each term of the corpus; `weights` are those of `evidence`, and
-    `shares` the p(c) of the classes."""
+    `shares` the p(c) of the classes. A document counts by its weight for any class, or as one if it has none."""
     weights = weights.withColumnsRenamed({"id": "__q_id", "th": "__q_th"})
     rows = words_of(docs, text).join(_small(weights), F.col("id").eqNullSafe(F.col("__q_id")) & (F.col("th") == F.col("__q_th")), "left")
     each = [f"w{k}" for k in range(CLASSES)]
     rows = rows.select(*each, F.explode_outer("w").alias("term")).where("term IS NOT NULL")
-    counts = rows.groupBy("term").agg(F.count("*").alias("df"), *[F.sum(F.coalesce(w, F.lit(0))).alias(w) for w in each])
+    counts = rows.groupBy("term").agg(F.sum(F.coalesce(each[-1], F.lit(UNIT))).alias("df"), *[F.sum(F.coalesce(w, F.lit(0))).alias(w) for w in each])
+    beside = lambda w: F.greatest(F.col(w) / UNIT - 1, F.lit(0.0))
     told = [F.lit(0.0)]
     for w, p in zip(each, shares, strict=True):
         if 0 < p < 1:
-            given = (F.greatest(F.col(w) / UNIT - 1, F.lit(0.0)) + PRIOR * p) / (F.col("df") - 1 + PRIOR)
+            given = (beside(w) + PRIOR * p) / (beside("df") + PRIOR)
             told.append(F.log(given / p) / -math.log(p))
     return counts.select("term", F.greatest(*told, F.lit(0.0)).alias("disclosure"))
 
@@ -175,10 +177,10 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", remove: float
     weights = scratch.cut(evidence(kept, "spans"), "evidence")
     mine = weights.withColumnsRenamed({"id": "__q_id", "th": "__q_th"})
     same = F.col("id").eqNullSafe(F.col("__q_id")) & (F.col("th") == F.col("__q_th"))
-    total = kept.count()
     sums = kept.where(F.size("spans") > 0).select("id", "th").join(_small(mine), same).agg(*[F.sum(f"w{k}") for k in range(CLASSES)]).first()
+    total = kept.where(F.size("spans") == 0).count() + (sums[-1] or 0) / UNIT
     shares = [(s or 0) / UNIT / max(total, 1) for s in sums]
-    telling = disclosures(source, "t", weights, total, shares).where(F.col("disclosure") >= generalise)
+    telling = disclosures(source, "t", weights, shares).where(F.col("disclosure") >= generalise)
     telling = scratch.cut(telling.select(F.col("term").alias("__q_t"), F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
     # only texts that hold such a term are walked term by term
     holding = words_of(source, "t").select("id", "th", F.explode_outer("w").alias("term")).join(_small(telling), F.col("term") == F.col("__q_t"), "left_semi")

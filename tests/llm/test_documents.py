@@ -294,6 +294,22 @@ def test_pii_terms(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_copies_are_no_evidence_against(spark):
+    """Copies of a page share one document's weight in the counts of terms and documents too."""
+    rng = random.Random(8)
+    page = f"{sentences(rng, 12)} call zanzibar ops99@corp.example.com {sentences(rng, 5)}"
+    rows = [(i, f"{sentences(rng, 12)} call zanzibar ops{i}@corp.example.com {sentences(rng, 5)}") for i in range(16)]
+    rows += [(100 + i, sentences(rng, 30)) for i in range(150)]
+
+    def spans(copies):
+        df = spark.createDataFrame([*rows, *[(400 + i, page) for i in range(copies)]], SCHEMA)
+        return {(r.doc_id, tuple((x.start, x.end, x.action) for x in r.added)) for r in pii.find(df).collect() if r.doc_id <= 400}
+
+    one = spans(1)
+    assert {len(added) for d, added in one if d < 100} == {2}  # call and zanzibar
+    assert spans(64) == one
+
+
 def test_clean_rows_match_digest(spark):
     df = spark.createDataFrame([(1, "abc")], SCHEMA)
     assert bpe.round_trip(df, RANKS, PATTERN).select(F.sha2("decoded", 256).alias("x")).first().x == hashlib.sha256(b"abc").hexdigest()
