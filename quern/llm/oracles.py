@@ -105,6 +105,21 @@ WITH l AS (
 SELECT doc_id, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", kept AS kept_doc_id FROM r WHERE doc_id > kept OR nth > 1
 """
 
+#: All runs of 51 words, compared as texts; runs that overlap or touch are one span.
+OP7_PASSAGES = f"""
+WITH p AS (
+  SELECT doc_id, piece, pos, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at
+  FROM (SELECT doc_id, unnest(raw) AS piece, unnest(range(1, len(raw) + 1)) AS pos FROM (SELECT doc_id, string_split(translate(text, {_GAPS}, '     '), ' ') AS raw FROM documents WHERE text IS NOT NULL))
+), w AS (SELECT doc_id, lower(piece) AS word, begin_at, begin_at + length(piece) AS end_at, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM p WHERE piece <> ''),
+r AS (
+  SELECT doc_id, k, begin_at, lead(end_at, 50) OVER d AS end_at, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS run
+  FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+), f AS (SELECT *, min({{'doc': doc_id, 'k': k}}) OVER (PARTITION BY run) AS kept FROM r WHERE end_at IS NOT NULL),
+l AS (SELECT *, k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), -99) + 51 AS new FROM f WHERE doc_id <> kept.doc OR k >= kept.k + 51),
+g AS (SELECT *, count_if(new) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM l)
+SELECT doc_id, CAST(min(begin_at) AS BIGINT) AS "start", CAST(max(end_at) AS BIGINT) AS "end", min(kept.doc) AS kept_doc_id FROM g GROUP BY doc_id, span
+"""
+
 #: Every pair of sets that share a shingle; components by the smallest id that is reachable.
 OP9 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),

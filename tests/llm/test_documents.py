@@ -208,6 +208,25 @@ def test_repeated_units(spark):
     assert substrings.repeats(two, unit="sentence", least_words=2).count() == 0
 
 
+def test_repeated_passages(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"{a}É{b}" for a, b in ((rng.randrange(99), rng.randrange(99)) for _ in range(n))]
+    long, short, alone = text(140), text(50), text(300)
+    rows = [(1, " ".join([*text(30), *long[:80], *text(9)])), (2, " ".join([*text(4), *long[20:140]]) + "\n x"), (3, "\n ".join([*text(3), *[w.upper() for w in long[:51]], "y", *long[60:120]]))]
+    rows += [(4, " ".join(short)), (5, " ".join(short)), (6, " ".join(alone)), (7, "of " * 400), (8, "x " + "of " * 60), (9, " ".join([*alone[9:61], *alone[9:61]])), (10, None), (11, ""), (12, " ".join([*long, *alone])), (13, " ".join(long[:50]))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", th int")
+    found = substrings.passages(df)
+    assert sql_rows(found) == plain.by_sql(oracles.OP7_PASSAGES, documents=(("doc_id", "text"), rows))
+    # of passages that begin within lines `repeats` sees none, but for words of document 3 that are lines of their own
+    assert {r.doc_id for r in found.collect()} == {2, 3, 7, 8, 9, 12} and {r.doc_id for r in substrings.repeats(df).collect()} == {3, 5}
+    clean = {r.doc_id: r.text for r in substrings.strip(df, found).collect()}
+    assert clean[1] == rows[0][1] and clean[3].split()[3:] == ["y"] and clean[13] == rows[-1][1]
+    # rows of one doc_id are one document; a null id ranks last; ids may be strings
+    again = spark.createDataFrame([(i, " ".join(long)) for i in ("b", "b", None, "c")], "doc_id string, text string")
+    assert Counter((r.doc_id, r.kept_doc_id) for r in substrings.passages(again).collect()) == Counter({(None, "b"): 1, ("c", "b"): 1})
+    assert substrings.passages(df.limit(0)).count() == 0
+
+
 def template_rows():
     rng = random.Random(3)
     rows = [(i, f"{sentences(rng, 40)}\nPage {i} of {i + 9} was viewed {i * 7} times today\n{sentences(rng, 30)}\nAll rights reserved by the owner\nMenu\n") for i in range(8)]
