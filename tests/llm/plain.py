@@ -42,6 +42,27 @@ def linked(docs, percent=80):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
+def passages(docs, size):
+    """(doc_id, start, end, kept_doc_id) of the repeated runs of `size` words, those that overlap or touch as one."""
+    words = {d: [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(t or "")] for d, t in docs}
+    run = lambda d, k: tuple(w for _, _, w in words[d][k : k + size])
+    first, out = {}, []
+    for d in sorted(words):
+        for k in range(len(words[d]) - size + 1):
+            first.setdefault(run(d, k), (d, k))
+    for d in words:
+        last = None
+        for k in range(len(words[d]) - size + 1):
+            kept, at = first[run(d, k)]
+            if kept == d and k < at + size:
+                continue
+            if last and k <= last[1] + size:
+                last[1:] = k, min(last[2], kept)
+            else:
+                out.append((d, last := [k, k, kept]))
+    return sorted((d, words[d][a][0], words[d][b + size - 1][1], kept) for d, (a, b, kept) in out)
+
+
 def decontaminated(docs, items, threshold=0.8):
     """(doc_id, item_id) -> best multiset Jaccard similarity over all item-sized windows."""
     from collections import Counter

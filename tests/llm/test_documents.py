@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontamination, jaccard, oracles, pii, quality, substrings, templates, token_counts
+from quern.plans import scratch
 from tests.llm import plain
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -227,6 +228,32 @@ def test_repeated_passages(spark):
     assert substrings.passages(df.limit(0)).count() == 0
 
 
+def test_passages_by_brute_force(spark):
+    rng = random.Random(8)
+    for size, letters in ((1, "abcdef"), (3, "ab"), (5, "abcdefghijklmnopqrst")):
+        base = [[rng.choice(letters) for _ in range(60)] for _ in range(4)]
+        rows = []
+        for d in range(25):
+            words = []
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(60)
+                words += [*rng.choice(base)[at : at + rng.randrange(40)], *[rng.choice(letters) for _ in range(rng.randrange(3))]]
+            rows.append((d, " ".join(words)))
+        found = substrings.passages(spark.createDataFrame(rows, SCHEMA), words=size).select("doc_id", "start", "end", "kept_doc_id")
+        assert sorted(tuple(r) for r in found.collect()) == plain.passages(rows, size)
+
+
+def test_passages_of_copies_take_few_rows(spark, monkeypatch):
+    """Not a row for each run of each copy: that was beyond the disk budget."""
+    rng, written, cut = random.Random(9), [], scratch.cut
+    monkeypatch.setattr(scratch, "cut", lambda df, label: [done := cut(df, label), written.append(done.count())][0])
+    text = [f"w{rng.randrange(9999)}" for _ in range(400)]
+    rows = [(d, " ".join([*text[: 9 * d], "other", *text[9 * d + 1 :]])) for d in range(40)]
+    found = substrings.passages(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "start", "end", "kept_doc_id")
+    assert sorted(tuple(r) for r in found.collect()) == plain.passages(rows, 51)
+    assert sum(written) < 40 * 350 / 2  # of the runs of all texts
+
+
 def template_rows():
     rng = random.Random(3)
     rows = [(i, f"{sentences(rng, 40)}\nPage {i} of {i + 9} was viewed {i * 7} times today\n{sentences(rng, 30)}\nAll rights reserved by the owner\nMenu\n") for i in range(8)]
